@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quirelake.session import spread
@@ -309,6 +309,7 @@ def resolve(units: Units, rows: list, text: str | None, title: str | None = None
 
 
 OUT = "record_id bigint, page_pos int, block_pos int, row_pos int, quantity string, unit_code string, is_common boolean, value double, value_common double"
+_OUT = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.float64()]
 MAX_UNITS = 10_000
 
 
@@ -327,13 +328,16 @@ def harmonise(payloads: DataFrame, lab_units: DataFrame) -> DataFrame:
     blocks = blocks.select("record_id", "page_pos", "block_pos", F.col("block.structured_data.rows").alias("rows"), F.col("block.text").alias("text"), F.col("block.title").alias("title"))
     blocks = spread(blocks, "record_id", "page_pos", "block_pos").dropDuplicates(["record_id", "page_pos", "block_pos"])
 
+    names = [f.split()[0] for f in OUT.split(", ")]
+
     def run(batches):
         units = Units(rows)
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for rid, pp, bp, rs, text, title in zip(pdf["record_id"], pdf["page_pos"], pdf["block_pos"], pdf["rows"], pdf["text"], pdf["title"]):
+            for rid, pp, bp, rs, text, title in zip(*(c.to_pylist() for c in batch.columns)):
                 for pos, q, n, k in resolve(units, rs, text, title):
                     out.append((rid, pp, bp, pos, q, k.code, k.common, n, n * k.factor + k.shift))
-            yield pd.DataFrame(out, columns=["record_id", "page_pos", "block_pos", "row_pos", "quantity", "unit_code", "is_common", "value", "value_common"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _OUT)], names)
 
-    return blocks.mapInPandas(run, OUT)
+    return blocks.mapInArrow(run, OUT)

@@ -75,8 +75,8 @@ lists AS (SELECT *, unnest(range(json_array_length(r)::BIGINT))::INT AS i FROM r
 cells AS (
   SELECT record_id, page_pos, block_pos, row_pos, k, json_extract(r, '$."' || k || '"') AS v FROM objects
   UNION ALL
-  SELECT record_id, page_pos, block_pos, row_pos, CASE WHEN json_type(r->i) = 'OBJECT' THEN r->i->>'k' ELSE coalesce(c->>i, 'column_' || i) END, CASE WHEN json_type(r->i) = 'OBJECT' THEN r->i->'v' ELSE r->i END
-  FROM lists WHERE json_type(r->i) <> 'OBJECT' OR r->i->>'k' IS NOT NULL)
+  SELECT record_id, page_pos, block_pos, row_pos, CASE WHEN json_type(r->i) = 'OBJECT' THEN ((r->i)->>'k') ELSE coalesce((c->>i), 'column_' || i) END, CASE WHEN json_type(r->i) = 'OBJECT' THEN ((r->i)->'v') ELSE (r->i) END
+  FROM lists WHERE json_type(r->i) <> 'OBJECT' OR ((r->i)->>'k') IS NOT NULL)
 """
 SQL = {
     "p4_found": _JSON
