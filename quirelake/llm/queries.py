@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quirelake.llm import pack, rank, split, tokens
+from quirelake.llm import moderate, pack, rank, split, tokens
 from quirelake.llm.texts import chunk_texts, payload_texts
 from quirelake.session import durable, spread
 from quirelake.sources import read_table
@@ -56,7 +56,29 @@ def p9_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("containers", "tokens", "fullest", F.ceil(F.col("tokens") / pack.CAPACITY).alias("bound"), (1 - F.col("tokens") / (F.col("containers") * pack.CAPACITY)).alias("unused"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_found, p7_ranking, p8_ids, p9_containers, p9_summary)}
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three scores of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    return moderate.score_documents(docs, moderate.fit_from(read_table(spark, sf_dir, "content_examples"), docs))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and category it holds."""
+    long = p10_scores(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("score")) for c in moderate.CATEGORIES])).alias("x"))
+    return long.where(F.col("x.score") > moderate.THRESHOLD).select("doc_id", "x.category")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: documents, those over the threshold in each category and in any, and their rate."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    scored = p10_scores(spark, sf_dir).join(docs, "doc_id")
+    over = {c: F.col(c) > moderate.THRESHOLD for c in moderate.CATEGORIES}
+    any_over = over["abusive"] | over["hateful"] | over["sexual"]
+    out = scored.groupBy("source").agg(F.count("*").alias("documents"), *[F.count_if(x).alias(c) for c, x in over.items()], F.count_if(any_over).alias("flagged"))
+    return out.withColumn("rate", F.col("flagged") / F.col("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_found, p7_ranking, p8_ids, p9_containers, p9_summary, p10_found, p10_scores, p10_rates)}
 
 _RANKS = """
 WITH base AS (SELECT query_id, chunk_id, max(semantic_score) AS a, max(keyword_score) AS b, max(hybrid_score) AS c, max(rerank_score) AS d FROM candidates WHERE chunk_id IS NOT NULL GROUP BY ALL),
