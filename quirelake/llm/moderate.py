@@ -30,7 +30,7 @@ from quirelake.session import spread
 CATEGORIES = ("abusive", "hateful", "sexual")
 EXAMPLES, UNLABELLED = 20_000, 3_000
 DIMENSIONS, WINDOW, STEP = 1 << 16, 22, 11
-THRESHOLD = 0.3  # of the score, for review
+THRESHOLDS = {"abusive": 0.3, "hateful": 0.12, "sexual": 0.17}  # of the scores, for review
 PRIORS = {"abusive": 0.01, "hateful": 0.01, "sexual": 0.01}
 
 # Concepts and their words in English, German, French and Spanish, without accents; * stands for any ending.
@@ -46,7 +46,7 @@ CONCEPTS = {
     "subhuman": "vermin animal* rats rat subhuman* plague parasite* liar* lice breed cockroach* ungeziefer tiere ratten parasiten lugner vermine animaux parasites menteur* plaga animales ratas mentiroso* alimanas",
     "expel": "belong away throw wiped rot rid ban deport country raus rausgeworfen rauswerfen abschieben dehors virer echen fuera expuls* pudran verrecken crevent refuse decent",
     "sexual": "horny naked nude* sexy underwear pics strip undress* hook singles dirty kinky breasts ass grope* fondle* lick* moan* porn* topless undressed cock pussy orgasm nackt* geil* ausziehen nue nues sexy coquin* bander deshabille* desnud* cachond* tetas culo follar braguita* bragas",
-    "want": "want dreaming dream send sends show fancy keep will quiero mandame envia* sueno veux envoie* reve* schick* traume will zeig*",
+    "want": "want dreaming dream send sends show fancy quiero mandame envia* sueno veux envoie* reve* schick* traume zeig*",
     "bed": "bed tonight bett nacht lit nuit soir cama noche",
     "clinical": "rash visible eye layer skin thickened garden finches watching test strip wet genital exam rectal examination vaginal discharge swab sexual history intercourse contraception condoms erectile dysfunction pest control flat dressing changed vaccine bullied abuse screened house students shared forgetting sorry angry tissue removed choked tablet killed idiopathic cockroach allergen chicken breast mole moles",
 }

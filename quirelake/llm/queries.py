@@ -64,15 +64,15 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and category it holds."""
-    long = p10_scores(spark, sf_dir).select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("score")) for c in moderate.CATEGORIES])).alias("x"))
-    return long.where(F.col("x.score") > moderate.THRESHOLD).select("doc_id", "x.category")
+    held = F.array_compact(F.array(*[F.when(F.col(c) > moderate.THRESHOLDS[c], F.lit(c)) for c in moderate.CATEGORIES]))
+    return p10_scores(spark, sf_dir).select("doc_id", F.explode(held).alias("category"))
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: documents, those over the threshold in each category and in any, and their rate."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
     scored = p10_scores(spark, sf_dir).join(docs, "doc_id")
-    over = {c: F.col(c) > moderate.THRESHOLD for c in moderate.CATEGORIES}
+    over = {c: F.col(c) > moderate.THRESHOLDS[c] for c in moderate.CATEGORIES}
     any_over = over["abusive"] | over["hateful"] | over["sexual"]
     out = scored.groupBy("source").agg(F.count("*").alias("documents"), *[F.count_if(x).alias(c) for c, x in over.items()], F.count_if(any_over).alias("flagged"))
     return out.withColumn("rate", F.col("flagged") / F.col("documents"))
