@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quirelake.llm import moderate, pack, rank, split, tokens
-from quirelake.llm.texts import chunk_texts, payload_texts
+from quirelake.llm import moderate, pack, rank, repair, split, tokens
+from quirelake.llm.texts import chunk_texts, payload_texts, truth_texts
 from quirelake.session import durable, spread
 from quirelake.sources import read_table
 
@@ -20,6 +20,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("n_pieces > 1 AND piece_no = 0").select("field", "item_id")
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload_texts(spark, sf_dir).unionByName(truth_texts(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every noisy line of a block text or ground truth text."""
+    texts = _scanned(spark, sf_dir)
+    return repair.noisy_lines(texts, repair.fit(texts))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block texts and ground truth texts as continuous paragraphs."""
+    texts = _scanned(spark, sf_dir)
+    return repair.repair(texts, repair.fit(texts))
+
+
 SCORES = ["semantic_score", "keyword_score", "hybrid_score", "rerank_score"]
 
 
@@ -78,7 +94,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rate", F.col("flagged") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_found, p7_ranking, p8_ids, p9_containers, p9_summary, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_repaired, p7_found, p7_ranking, p8_ids, p9_containers, p9_summary, p10_found, p10_scores, p10_rates)}
 
 _RANKS = """
 WITH base AS (SELECT query_id, chunk_id, max(semantic_score) AS a, max(keyword_score) AS b, max(hybrid_score) AS c, max(rerank_score) AS d FROM candidates WHERE chunk_id IS NOT NULL GROUP BY ALL),
