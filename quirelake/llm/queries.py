@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quirelake.llm import moderate, pack, rank, repair, split, tokens
+from quirelake.llm import moderate, neighbours, pack, pii, rank, repair, split, tokens
 from quirelake.llm.texts import chunk_texts, payload_texts, truth_texts
 from quirelake.session import durable, spread
 from quirelake.sources import read_table
@@ -20,6 +20,48 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("n_pieces > 1 AND piece_no = 0").select("field", "item_id")
 
 
+def _close(spark: SparkSession, sf_dir: str) -> neighbours.Result:
+    chunks = read_table(spark, sf_dir, "medical_document_chunks")
+    return neighbours.search(chunks, "chunk_id", "embedding", k=5, floor=0.9, recall=0.99)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of cosine 0.9 and more: neighbours of representatives, and members of a class with each other."""
+    r = _close(spark, sf_dir)
+    return neighbours.expand(r, "chunk_id").where("id_a < id_b").select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar other chunks of every representative of equal embeddings."""
+    chunks = read_table(spark, sf_dir, "medical_document_chunks")
+    r = neighbours.search(chunks, "chunk_id", "embedding", k=5, recall=0.93)
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
+    return r.pairs.select(F.col("a").alias("chunk_id"), F.col("b").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), place.alias("place"))
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with a valid embedding, its class of equal embeddings and the class's number of close neighbours."""
+    r = _close(spark, sf_dir)
+    links = r.pairs.groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("links"))
+    return r.classes.join(links, "class_id", "left").select(F.col("id").alias("chunk_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_texts(spark, sf_dir).unionByName(payload_texts(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention of personal information in a chunk text or block text."""
+    texts = _personal(spark, sf_dir)
+    return pii.mentions(texts, pii.learn_names(texts)).select("field", "item_id", "pii_type", "start_at").distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with every mention replaced by a placeholder of its type."""
+    texts = _personal(spark, sf_dir)
+    return pii.redact(texts, pii.learn_names(texts))
+
+
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload_texts(spark, sf_dir).unionByName(truth_texts(spark, sf_dir))
 
@@ -94,7 +136,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rate", F.col("flagged") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_repaired, p7_found, p7_ranking, p8_ids, p9_containers, p9_summary, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p3_classes, p6_found, p6_redacted, p5_found, p5_repaired, p7_found, p7_ranking, p8_ids, p9_containers, p9_summary, p10_found, p10_scores, p10_rates)}
 
 _RANKS = """
 WITH base AS (SELECT query_id, chunk_id, max(semantic_score) AS a, max(keyword_score) AS b, max(hybrid_score) AS c, max(rerank_score) AS d FROM candidates WHERE chunk_id IS NOT NULL GROUP BY ALL),
