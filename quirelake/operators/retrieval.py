@@ -49,11 +49,11 @@ def like_boilerplate(text: Column) -> Column:
     return F.lower(text).rlike(words(BOILERPLATE_WORDS))
 
 
-def candidate_windows(queries: DataFrame, base: int = 20, prescription: int = 30, floor: int = 8, most: int = 20) -> DataFrame:
+def candidate_windows(queries: DataFrame, base: int = 20, prescription: int = 30, most: int = 20) -> DataFrame:
     """Adds the candidate window and the rerank window of each query."""
     asks = F.array_contains(asked_sections(F.col("query_text")), "prescription")
     window = F.greatest(F.coalesce("candidate_k", F.lit(base)), F.when(asks, prescription).otherwise(0))
-    return queries.withColumn("candidate_window", window).withColumn("rerank_window", F.least(F.col("candidate_window"), F.greatest(F.coalesce("top_k", F.lit(5)), F.when(asks, most).otherwise(floor))))
+    return queries.withColumn("candidate_window", window).withColumn("rerank_window", F.greatest(F.coalesce("top_k", F.lit(5)), F.when(asks, most).otherwise(0)))
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -138,7 +138,7 @@ _INS = _w("take|follow|instructions|daily|morning|evening|weekly|monitor|side ef
 _BOI = _w("patient instructions?|instructions carefully|take care and stay healthy|prescribing physician|signature|page\\s+\\d+|hello|watch out|follow the dosage")
 _Q = """q AS (SELECT query_id, max(query_text) AS query_text, max(role) AS role, max(document_id) AS scope, max(candidate_k) AS candidate_k, max(top_k) AS top_k FROM retrieval_queries WHERE query_id IS NOT NULL GROUP BY query_id)"""
 _QA = _Q + f""", qa AS (SELECT *, regexp_matches(lower(coalesce(query_text, '')), '{_RX}') AS rx, regexp_matches(lower(coalesce(query_text, '')), '{_DX}') AS dx, regexp_matches(lower(coalesce(query_text, '')), '{_LX}') AS lx FROM q),
-qw AS (SELECT *, greatest(coalesce(candidate_k, 20), CASE WHEN rx THEN 30 ELSE 0 END) AS candidate_window, least(greatest(coalesce(candidate_k, 20), CASE WHEN rx THEN 30 ELSE 0 END), greatest(coalesce(top_k, 5), CASE WHEN rx THEN 20 ELSE 8 END)) AS rerank_window FROM qa)"""
+qw AS (SELECT *, greatest(coalesce(candidate_k, 20), CASE WHEN rx THEN 30 ELSE 0 END) AS candidate_window, greatest(coalesce(top_k, 5), CASE WHEN rx THEN 20 ELSE 0 END) AS rerank_window FROM qa)"""
 _C = "c AS (SELECT query_id, chunk_id, max(document) AS text, max(document_id) AS document_id, max(section) AS section, max(entity_focus) AS entity_focus, max(semantic_score) AS semantic_score, max(keyword_score) AS keyword_score FROM candidates WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY query_id, chunk_id)"
 _FUSED = _C + """, fused AS (SELECT *, CASE WHEN semantic_score IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY semantic_score DESC NULLS LAST, chunk_id) END AS semantic_rank,
  CASE WHEN keyword_score IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC NULLS LAST, chunk_id) END AS keyword_rank FROM c),
