@@ -13,7 +13,7 @@ them; vectors that have only distant neighbours in a space without structure nee
 held-out sample against brute force, the probes that a wanted recall takes.
 
 Defined cases: null, empty, zero, non-finite vectors and vectors of another length than `dim` have no neighbours and are
-nobody's; ids repeated with equal vectors count once, with differing vectors the smallest vector holds; ties of cosine go
+nobody's; ids repeated with equal vectors count once, with differing vectors they stand in the class of each; ties of cosine go
 to the smaller id; a vector has fewer than k neighbours where there are fewer vectors.
 """
 
@@ -30,28 +30,41 @@ FIT_ROWS, PART_ROWS, MAX_PARTS = 24_576, 2048, 2048
 BLOCK_ROWS = 8192
 GRAPH_K = 8
 HELD_OUT, LEAST_PROBES = 8_192, 3
+MEMBER, ASKS, BOTH = 0, 1, 2
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def knn_brute(q: np.ndarray, x: np.ndarray, k: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def knn_brute(q: np.ndarray, x: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Indices and cosines of the k best rows of x for each row of q (rows of unit length), unordered."""
     ids, sims = [], []
     k = min(k, len(x))
     for lo in range(0, len(q), block):
         s = q[lo : lo + block] @ x.T
-        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        at = np.argpartition(-s, k - 1, axis=1)[:, :k].copy()  # not a view: it would keep the whole block
         ids.append(at)
         sims.append(np.take_along_axis(s, at, axis=1))
     return np.concatenate(ids), np.concatenate(sims)
 
 
-def _balanced(scores: np.ndarray, capacity: int) -> np.ndarray:
+def _best_columns(scores, n: int, p: int, keep: int = 24, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """The best columns of each row and their scores, best first; scores(lo, hi) gives a block of rows."""
+    keep = min(keep, p)
+    cols, vals = np.empty((n, keep), np.int32), np.empty((n, keep), np.float32)
+    for lo in range(0, n, block):
+        s = scores(lo, min(n, lo + block))
+        at = np.argpartition(-s, keep - 1, axis=1)[:, :keep] if keep < p else np.tile(np.arange(p), (len(s), 1))
+        v = np.take_along_axis(s, at, axis=1)
+        o = np.argsort(-v, axis=1, kind="stable")
+        cols[lo : lo + len(s)], vals[lo : lo + len(s)] = np.take_along_axis(at, o, axis=1), np.take_along_axis(v, o, axis=1)
+    return cols, vals
+
+
+def _balanced(scores, n: int, p: int, capacity: int) -> np.ndarray:
     """Each row to its best column with room; rows that are surest go first."""
-    n, p = scores.shape
-    order = np.argsort(-scores, axis=1)[:, : min(p, 24)]
+    order, value = _best_columns(scores, n, p)
     part = np.full(n, -1, np.int64)
     room = np.full(p, capacity, np.int64)
     todo = np.arange(n)
@@ -59,7 +72,7 @@ def _balanced(scores: np.ndarray, capacity: int) -> np.ndarray:
         if not len(todo):
             break
         want = order[todo, level]
-        sure = np.argsort(-scores[todo, want], kind="stable")
+        sure = np.argsort(-value[todo, level], kind="stable")
         want_s = want[sure]
         by = np.argsort(want_s, kind="stable")
         head = np.r_[True, want_s[by][1:] != want_s[by][:-1]]
@@ -104,14 +117,18 @@ def learn(x: np.ndarray, parts: int, seed: int = 11, epochs: int = 12) -> Router
     centres = x[rng.choice(n, parts, replace=False)]
     part = None
     for _ in range(6):  # balanced spherical clusters as the start
-        part = _balanced(x @ centres.T, capacity)
+        part = _balanced(lambda lo, hi: x[lo:hi] @ centres.T, n, parts, capacity)  # noqa: B023
         sums = np.zeros((parts, d), np.float32)
         np.add.at(sums, part, x)
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     for _ in range(4):  # to the part of most graph neighbours, ties by the centre, under the capacity
-        votes = np.zeros((n, parts), np.float32)
-        np.add.at(votes, (np.repeat(np.arange(n), graph.shape[1]), part[graph].ravel()), 1.0)
-        part = _balanced(votes / graph.shape[1] + x @ centres.T, capacity)
+
+        def votes(lo, hi, part=part, centres=centres):
+            v = x[lo:hi] @ centres.T
+            np.add.at(v, (np.repeat(np.arange(hi - lo), graph.shape[1]), part[graph[lo:hi]].ravel()), 1.0 / graph.shape[1])
+            return v
+
+        part = _balanced(votes, n, parts, capacity)
         sums = np.zeros((parts, d), np.float32)
         np.add.at(sums, part, x)
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
@@ -153,7 +170,12 @@ def probes_for(router: Router, x: np.ndarray, recall: float, k: int = 5, floor:
     ok = ~own & (sim >= floor)
     if not ok.any():
         return LEAST_PROBES
-    need = np.sort(np.take_along_axis(place, home[at], axis=1)[ok])
+    need = np.take_along_axis(place, home[at], axis=1)
+    if floor > 0:  # a pair is found from either side
+        flat = at.ravel()
+        back = router.top(x[flat], parts)
+        need = np.minimum(need, np.argmax(back == np.repeat(home[: len(q)], at.shape[1])[:, None], axis=1).reshape(at.shape))
+    need = np.sort(need[ok])
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)]) + 1
 
 
@@ -185,16 +207,24 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 @dataclass
 class Result:
     classes: DataFrame  # id, class_id: every valid id and the representative of its equal vectors
-    pairs: DataFrame  # a, b, cosine: representatives and their neighbours, up to k per a (and probed part before the cut)
+    pairs: DataFrame  # a, b, cosine: representatives and their neighbours, up to k per a
+
+
+def classes_of(base: DataFrame) -> DataFrame:
+    """(id, class_id) of (id, vec): vectors meet by a digest; counted per digest before the join, so that a hot one is no hot task."""
+    keyed = base.select("id", F.unhex(F.md5("vec")).alias("key")).distinct()
+    return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("class_id")), "key").select("id", "class_id")
 
 
 def search(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, floor: float = -1.0, recall: float = 0.95, probes: int | None = None, fit_rows: int = FIT_ROWS) -> Result:
-    """Up to k neighbours of cosine >= floor for every representative, and the classes of equal vectors."""
+    """Up to k neighbours of cosine >= floor for every representative, and the classes of equal vectors.
+
+    With a positive floor a pair counts from either side, so it is found if one of the two asks in the part of the other.
+    """
     spark = df.sparkSession
     base = clean(df, id_col, vec_col, dim)
     id_type = dict(base.dtypes)["id"]
-    by_id = base.groupBy("id").agg(F.min("vec").alias("vec"))
-    reps = by_id.groupBy("vec").agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
+    reps = base.groupBy("vec").agg(F.min("id").alias("id"))
     # The fit sample: bounded, in order of a hash of the id; and the number of vectors, to set the number of parts.
     n = df.where(F.size(vec_col) == dim).count()
     share = min(1.0, 1.3 * (fit_rows + HELD_OUT) / max(n, 1))
@@ -212,7 +242,7 @@ def search(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
     probes = min(probes, router.weights.shape[1])
     # Blocks of a part, from its size in the sample: a group of one task stays bounded.
     size = np.bincount(router.top(x, 1)[:, 0], minlength=router.weights.shape[1]) * (max(n, 1) / max(len(x), 1)) if len(x) else np.ones(1)
-    blocks = np.maximum(1, np.ceil(size / BLOCK_ROWS)).astype(np.int64)
+    blocks = np.minimum(255, np.maximum(1, np.ceil(size / BLOCK_ROWS))).astype(np.int64)
     shared = spark.sparkContext.broadcast((router, blocks, probes))  # bounded: dim x MAX_PARTS
 
     def route(batches):
@@ -223,27 +253,34 @@ def search(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
             vecs = _matrix(batch.column(1), dim)
             top = r.top(vecs, m).astype(np.int64)
             h = np.arange(len(vecs), dtype=np.int64) + int.from_bytes(vecs[0].tobytes()[:3], "little")
-            part, kind, row = [], [], []
-            # Members are in one block of their part, for every block of queries; queries in one block, for every block of members.
-            for i in range(m + 1):
-                p = top[:, 0] if i == 0 else top[:, i - 1]
+            cell, role, row = [], [], []
+
+            def send(p, on, mine, other, what, cell=cell, role=role, row=row):
+                cell.append(p[on] * 65536 + (mine * 256 + other if what != ASKS else other * 256 + mine))
+                role.append(np.full(len(on), what, np.int8))
+                row.append(on)
+
+            for i in range(m):
+                p = top[:, i]
                 b = blk[p]
+                if i == 0:  # one copy is member and query where its part is one block
+                    on = np.flatnonzero(b == 1)
+                    send(p, on, 0, 0, BOTH)
                 for other in range(int(b.max())):
-                    on = np.flatnonzero(other < b)
-                    mine = h[on] % b[on]
-                    part.append(p[on] * 65536 + (mine * 256 + other if i == 0 else other * 256 + mine))
-                    kind.append(np.full(len(on), i == 0))
-                    row.append(on)
+                    on = np.flatnonzero((other < b) & (b > 1) if i == 0 else (other < b))
+                    if i == 0:
+                        send(p, on, h[on] % b[on], other, MEMBER)
+                    send(p, on, h[on] % b[on], other, ASKS)
             take = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.concatenate(kind)), batch.column(0).take(take), batch.column(1).take(take)], ["cell", "member", "id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell)), pa.array(np.concatenate(role)), batch.column(0).take(take), batch.column(1).take(take)], ["cell", "role", "id", "vec"])
 
-    routed = reps.select(F.col("class_id").alias("id"), "vec").mapInArrow(route, f"cell bigint, member boolean, id {id_type}, vec binary")
+    routed = reps.select("id", "vec").mapInArrow(route, f"cell bigint, role tinyint, id {id_type}, vec binary")
 
     def compare(table: pa.Table) -> pa.Table:
-        member = np.asarray(table.column("member").combine_chunks())
+        role = np.asarray(table.column("role").combine_chunks())
         vecs = _matrix(table.column("vec"), dim)
         ids = table.column("id").combine_chunks()
-        mi, qi = np.flatnonzero(member), np.flatnonzero(~member)
+        mi, qi = np.flatnonzero(role != ASKS), np.flatnonzero(role != MEMBER)
         a, b, c = [], [], []
         if len(mi) and len(qi):
             mv = vecs[mi]
@@ -268,11 +305,11 @@ def search(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
 
     met = routed.groupBy("cell").applyInArrow(compare, f"a {id_type}, b {id_type}, cosine double")
     if floor > 0:  # found from either side
-        met = met.union(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+        met = met.select(F.explode(F.array(F.struct("a", "b", "cosine"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))).alias("x")).select("x.*")
+    met = met.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    pairs = met.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
-    classes = by_id.join(reps.where("members > 1"), "vec", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    return Result(classes, pairs)
+    pairs = met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
+    return Result(classes_of(base), pairs)
 
 
 def expand(result: Result, name: str, limit: int = 6) -> DataFrame:
