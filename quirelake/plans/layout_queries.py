@@ -10,6 +10,7 @@ from quirelake.functions import geometry as G
 from quirelake.functions import text as T
 from quirelake.operators import layout as L
 from quirelake.operators import quality as Q
+from quirelake.operators.sequence import with_previous, with_running_sum
 from quirelake.plans.extract_queries import _BLOCKS, _blocks
 from quirelake.sources import read_table
 
@@ -98,8 +99,9 @@ def best_layout(spark, sf_dir):
 def span_groups(spark, sf_dir):
     """Runs of one event type of a user: length and mean value."""
     e = read_table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    g = e.withColumn("new", F.when(F.lag("event_type").over(w) == F.col("event_type"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    day, order = F.to_date("ts"), ["ts", "event_id"]
+    g = with_previous(e, "user_id", order, "event_type", day, "p").withColumn("new", F.when(F.col("p") == F.col("event_type"), 0).otherwise(1))
+    g = with_running_sum(g, "user_id", order, "new", day, "run")
     return g.groupBy("user_id", "run", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("mean_value"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quirelake.functions import text as T
+from quirelake.operators.sequence import with_previous
 from quirelake.sources import block_texts, read_table
 
 
@@ -122,8 +123,7 @@ def doc_context(spark, sf_dir):
 def consecutive_dedup(spark, sf_dir):
     """Events of a user in order, without those of the same type as the one before."""
     e = read_table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.withColumn("p", F.lag("event_type").over(w)).where("p IS NULL OR p <> event_type").select("event_id", "user_id", "event_type")
+    return with_previous(e, "user_id", ["ts", "event_id"], "event_type", F.to_date("ts"), "p").where("p IS NULL OR p <> event_type").select("event_id", "user_id", "event_type")
 
 
 QUERIES = {f.__name__: f for f in (text_quality, ws_normalize, token_counts, term_stats, corpus_stats, sentence_units, long_split, token_pack, sections, section_prefix, form_labels, label_values, order_lines, safe_names, folded_texts, fts_terms, layout_labels, doc_context, consecutive_dedup)}
