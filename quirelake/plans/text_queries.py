@@ -170,7 +170,7 @@ SELECT line, regexp_matches(line, '(?i)\\d ?mg([^A-Za-z]|$)|(^|[^A-Za-z])(?:tabl
     "safe_names": r"""SELECT DISTINCT input_file, coalesce(nullif(regexp_replace(regexp_replace(input_file, '[^A-Za-z0-9._\-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'upload.bin') AS safe_name,
 regexp_replace(input_file, '\.[A-Za-z0-9]+$', '_rag.txt') AS rag_name, regexp_replace(input_file, '\.[A-Za-z0-9]+$', '_chunks.json') AS chunk_name FROM document_payloads""",
     "folded_texts": rf"""WITH e AS (SELECT DISTINCT document_id, ground_truth_text FROM evaluation_texts WHERE ground_truth_text IS NOT NULL),
-f AS (SELECT document_id, {_sq("regexp_replace(lower(ground_truth_text), '[^\p{L}\p{N}_" + _WS + "]', ' ', 'g')")} AS folded FROM e), w AS (SELECT *, string_split(folded, ' ') AS w FROM f)
+f AS (SELECT document_id, {_sq("regexp_replace(lower(ground_truth_text), '[^\\p{L}\\p{N}_" + _WS + "]', ' ', 'g')")} AS folded FROM e), w AS (SELECT *, string_split(folded, ' ') AS w FROM f)
 SELECT document_id, folded, CASE WHEN len(w) < 2 THEN 0 ELSE len(list_distinct(list_transform(range(1, len(w)::BIGINT), lambda i: w[i] || ' ' || w[i + 1]))) END::INT AS bigrams,
 CASE WHEN len(w) < 3 THEN 0 ELSE len(list_distinct(list_transform(range(1, len(w)::BIGINT - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END::INT AS trigrams,
 CASE WHEN folded = '' THEN 0.65 WHEN len(w) >= 20 THEN 0.85 WHEN len(w) >= 8 THEN 0.75 ELSE 0.65 END::DOUBLE AS confidence FROM w""",
