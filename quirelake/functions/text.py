@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: White space as Unicode has it, as a class body of a pattern.
 WS = r" \t\n\r\f\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -47,17 +47,21 @@ def _share(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / F.greatest(F.length(text), F.lit(1))
 
 
-def quality(text: Column, min_chars: int = 100, min_words: int = 6, min_alpha: float = 0.45, max_weird: float = 0.25, max_duplicate: float = 0.40) -> Column:
-    """Struct of counts and ratios of a text and its class: good, poor or empty. A null text is empty."""
-    t = strip(F.coalesce(text, F.lit("")))
-    words = F.size(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_/%.\-]+"), F.lit(0)))
-    alpha = _share(t, r"\p{L}")
-    weird = _share(t, rf"[^\p{{L}}\p{{N}}{WS}.,:;\-/()%]")
-    full = F.filter(F.transform(lines(t), strip), lambda x: x != "")
-    duplicate = F.when(F.size(full) > 0, 1 - F.size(F.array_distinct(full)) / F.size(full)).otherwise(0.0)
-    enough = (F.length(t) >= min_chars) | (words >= min_words)
-    label = F.when(t == "", "empty").when(enough & (alpha >= min_alpha) & (weird <= max_weird) & (duplicate <= max_duplicate), "good").otherwise("poor")
-    return F.struct(F.length(t).alias("char_count"), words.alias("word_count"), alpha.alias("alpha_ratio"), weird.alias("weird_ratio"), duplicate.alias("duplicate_ratio"), label.alias("quality"))
+def with_quality(df: DataFrame, text: str, min_chars: int = 100, min_words: int = 6, min_alpha: float = 0.45, max_weird: float = 0.25, max_duplicate: float = 0.40) -> DataFrame:
+    """Adds counts and ratios of a text and `quality`: good, poor or empty. A null text is empty.
+
+    Each step is a column of its own, so that nothing is computed twice.
+    """
+    d = df.withColumn("_t", strip(F.coalesce(text, F.lit(""))))
+    t = F.col("_t")
+    d = d.withColumns({
+        "char_count": F.length(t), "word_count": F.size(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_/%.\-]+"), F.lit(0))), "alpha_ratio": _share(t, r"\p{L}+"),
+        "weird_ratio": _share(t, rf"[^\p{{L}}\p{{N}}{WS}.,:;\-/()%]+"), "_l": F.filter(F.transform(lines(t), strip), lambda x: x != ""),
+    })
+    d = d.withColumn("duplicate_ratio", F.when(F.size("_l") > 0, 1 - F.size(F.array_distinct("_l")) / F.size("_l")).otherwise(0.0))
+    enough = (F.col("char_count") >= min_chars) | (F.col("word_count") >= min_words)
+    good = enough & (F.col("alpha_ratio") >= min_alpha) & (F.col("weird_ratio") <= max_weird) & (F.col("duplicate_ratio") <= max_duplicate)
+    return d.withColumn("quality", F.when(F.col("_t") == "", "empty").when(good, "good").otherwise("poor")).drop("_t", "_l")
 
 
 SECTION_ALIASES = {"medication": "medications", "lab": "labs", "prescribed medications": "prescription", "prescribed medication": "prescription", "patient instructions": "instructions", "patient instruction": "instructions", "instruction": "instructions", "follow-up": "follow up"}

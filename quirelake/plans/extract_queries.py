@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quirelake.operators import extract as E
+from quirelake.session import spread
 from quirelake.sources import block_texts, read_table
 
 
 def _blocks(spark, sf_dir) -> DataFrame:
     """One row per block of each record, repeated rows of a record once: record_id, page_pos, block_pos, block."""
-    p = read_table(spark, sf_dir, "document_payloads").select("record_id", "pages").dropDuplicates(["record_id"])
+    p = spread(read_table(spark, sf_dir, "document_payloads").select("record_id", "pages"), "record_id").dropDuplicates(["record_id"])
     pages = p.select("record_id", F.posexplode("pages").alias("page_pos", "page"))
     return pages.select("record_id", "page_pos", "page.page_number", "page.page_type", F.posexplode("page.blocks").alias("block_pos", "block")).where("block IS NOT NULL")
 
@@ -21,9 +22,8 @@ def _rx_lines(spark, sf_dir) -> DataFrame:
 
 
 def med_lines(spark, sf_dir):
-    l = _rx_lines(spark, sf_dir).select("line", E.clean_line(F.col("line")).alias("text"))
-    s = E.signals(F.col("text"))
-    return l.select("line", "text", s["footer"].alias("footer"), s["explicit"].alias("explicit"), s["narrative"].alias("narrative"), s["score"].alias("score"), s["prescription"].alias("prescription"))
+    l = E.with_signals(_rx_lines(spark, sf_dir).select("line", E.clean_line(F.col("line")).alias("text")), "text")
+    return l.select("line", "text", "footer", "explicit", "narrative", "score", "prescription")
 
 
 def med_parse(spark, sf_dir):

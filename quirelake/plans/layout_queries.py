@@ -31,7 +31,7 @@ def page_route(spark, sf_dir):
     boxes = F.transform(F.filter(F.coalesce("page.blocks", F.expr("array()")), lambda b: b["type"] == "image_ocr"), lambda b: b["bbox"])
     text = F.array_join(F.transform(F.coalesce("page.blocks", F.expr("array()")), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
     d = _pages(spark, sf_dir).select("record_id", "page_pos", "input_file", text.alias("text"), Q.image_coverage(F.lit(W * H), boxes).alias("c"))
-    d = d.withColumn("quality", T.quality(F.col("text"))["quality"]).withColumn("good", F.col("quality") == "good").withColumn("mostly", F.col("c.coverage") >= Q.MOSTLY)
+    d = T.with_quality(d, "text").withColumn("good", F.col("quality") == "good").withColumn("mostly", F.col("c.coverage") >= Q.MOSTLY)
     d = d.withColumn("hand", Q.handwritten(F.col("input_file"), F.col("text"), F.col("good"), F.col("mostly")))
     return d.select("record_id", "page_pos", "quality", "hand", Q.page_class(F.col("hand"), F.col("good"), F.col("c.images"), F.col("mostly")).alias("page_class"))
 

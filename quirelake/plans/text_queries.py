@@ -20,7 +20,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_quality(spark, sf_dir):
-    q = _docs(spark, sf_dir).select("doc_id", T.quality(F.col("text")).alias("q")).select("doc_id", "q.*")
+    q = T.with_quality(_docs(spark, sf_dir), "text")
     return q.select("doc_id", "char_count", "word_count", *[F.round(c, 4).alias(c) for c in ("alpha_ratio", "weird_ratio", "duplicate_ratio")], "quality")
 
 

@@ -30,7 +30,7 @@ def test_packing_against_plain(spark):
 
 def test_quality_cases(spark):
     df = spark.createDataFrame([(None,), ("",), ("  \n ",), ("One two three four five six seven.",), ("§§§§ %%% ###",), ("same line here\n" * 20,)], "x string")
-    assert [r["q"] for r in df.select(T.quality(F.col("x"))["quality"].alias("q")).collect()] == ["empty", "empty", "empty", "good", "poor", "poor"]
+    assert [r["q"] for r in T.with_quality(df, "x").select(F.col("quality").alias("q")).collect()] == ["empty", "empty", "empty", "good", "poor", "poor"]
 
 
 def test_sections(spark):
