@@ -53,3 +53,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * slots(spark))
     return df.repartition(n, *keys)
+
+
+def balanced(df: DataFrame, *keys: str) -> DataFrame:
+    """df as it is where its scan has a partition or more per slot, so that large inputs are not shuffled; else spread by the keys.
+
+    For plans without a shuffle of their own: the number of partitions is read from the plan, nothing runs.
+    """
+    try:
+        enough = df._jdf.toJavaRDD().getNumPartitions() >= 2 * slots(df.sparkSession)
+    except Exception:  # no access to the plan
+        enough = False
+    return df if enough else spread(df, *keys)
