@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quirelake.functions import text as T
+from quirelake.functions.staging import late_filter
 from quirelake.operators import extract as E
 from quirelake.operators.layout import block_order
 
@@ -42,10 +43,6 @@ def distinct_lines(lines: DataFrame, keys: list[str], at: str, line: str) -> Dat
     return first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(at, line))).alias("l")).select(*keys, F.array_join(F.transform("l", lambda x: x[line]), "\n").alias("summary"), F.size("l").alias("lines"))
 
 
-def _rows(strategy: str, focus: str | None, text: Column, d: DataFrame, sub: Column) -> DataFrame:
-    return d.select("record_id", "page_pos", F.col("ord"), F.lit(strategy).alias("strategy"), F.lit(focus).alias("entity_focus"), sub.cast("int").alias("sub"), "section", T.with_section(text, F.col("section")).alias("chunk_text"))
-
-
 def build_chunks(blocks: DataFrame, most: int = 220, hard: int = 320, overlap: int = 40) -> DataFrame:
     """All chunks of every record: (record_id, chunk_index, chunk_id, page_pos, section, strategy, entity_focus, chunk_text, chunk_char_count, entity_types).
 
@@ -64,7 +61,8 @@ def build_chunks(blocks: DataFrame, most: int = 220, hard: int = 320, overlap: i
     kind = F.when(F.size("table") > 0, "table_row").when(F.size("form") > 0, "form_field").when(F.size("meds") > 0, "medication").when(F.size("labs") > 0, "lab").otherwise("narrative")
     d = d.withColumn("kind", kind)
     parts = F.when(F.col("kind") == "table_row", F.col("table")).when(F.col("kind") == "form_field", F.col("form")).when(F.col("kind") == "medication", F.col("meds")).when(F.col("kind") == "lab", F.col("labs")).otherwise(narrative)
-    rows = d.select("record_id", "page_pos", "ord", "section", "kind", F.posexplode(parts).alias("sub", "t")).where("trim(t) <> ''")
+    rows = d.select("record_id", "page_pos", "ord", "section", "kind", F.posexplode(parts).alias("sub", "t"))
+    rows = late_filter(rows, F.trim("t") != "")
     chunk = rows.withColumn("chunk_text", T.with_section(F.col("t"), F.col("section")))
     n = F.row_number().over(Window.partitionBy("record_id").orderBy("page_pos", "ord", "sub")) - 1
     strategy = F.when(F.col("kind") == "form_field", "form_fields").when(F.col("kind") == "narrative", "section_aware").otherwise("entity_preserving")

@@ -70,12 +70,14 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int
     is pre-aggregated per (query, text) before the second shuffle.
     """
     post = postings(docs, id_col, text_col)
-    corpus = docs.where(F.col(text_col).isNotNull()).select(F.size(T.search_terms(F.col(text_col))).alias("n")).where("n > 0").agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
+    # Two numbers of the corpus; one small job.
+    n_docs, avgdl = docs.where(F.col(text_col).isNotNull()).select(F.size(T.search_terms(F.col(text_col))).alias("n")).where("n > 0").agg(F.count("*"), F.avg("n")).head()
+    avgdl = avgdl or 1.0
     asked = queries.where("query_text IS NOT NULL").select("query_id", F.explode(T.search_terms(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(corpus)).select("term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")  # one row
+    idf = df.select("term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighted = asked.join(idf, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = post.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

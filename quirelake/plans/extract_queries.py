@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quirelake.functions.staging import late_filter
 from quirelake.operators import extract as E
 from quirelake.session import spread
 from quirelake.sources import block_texts, read_table
@@ -63,7 +64,7 @@ def table_summary(spark, sf_dir):
 def render_text(spark, sf_dir):
     """The search text of every record: blocks in reading order, rendered, neighbours of equal text once."""
     order = [F.coalesce("page_number", F.lit(10**9)), "page_pos", F.coalesce("block.metadata.reading_order", F.lit(10**9)), F.coalesce(F.get("block.bbox", F.lit(1)), F.lit(1e9)), F.coalesce(F.get("block.bbox", F.lit(0)), F.lit(1e9)), "block_pos"]
-    b = _blocks(spark, sf_dir).withColumn("t", E.render_block(F.col("block"))).where("t <> ''")
+    b = late_filter(_blocks(spark, sf_dir).withColumn("t", E.render_block(F.col("block"))), F.col("t") != "")
     n = b.withColumn("ord", F.row_number().over(Window.partitionBy("record_id").orderBy(*order)))
     kept = n.withColumn("p", F.lag("t").over(Window.partitionBy("record_id").orderBy("ord"))).where("p IS NULL OR p <> t")
     out = kept.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("ord", "t"))).alias("r"))

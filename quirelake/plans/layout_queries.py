@@ -92,7 +92,9 @@ def right_side_values(spark, sf_dir):
 def best_layout(spark, sf_dir):
     """Layout boxes: the four quarters of the page."""
     b = _blocks(spark, sf_dir)
-    boxes = b.select("record_id", "page_pos").distinct().crossJoin(F.broadcast(spark.createDataFrame([(0, "Header", [0.0, 0.0, 306.0, 200.0]), (1, "Paragraph", [306.0, 0.0, 612.0, 200.0]), (2, "Table", [0.0, 200.0, 306.0, 792.0]), (3, "Form", [306.0, 200.0, 612.0, 792.0])], "box_no int, label string, box array<double>")))
+    quarters = [(0, "Header", [0.0, 0.0, 306.0, 200.0]), (1, "Paragraph", [306.0, 0.0, 612.0, 200.0]), (2, "Table", [0.0, 200.0, 306.0, 792.0]), (3, "Form", [306.0, 200.0, 612.0, 792.0])]
+    each = F.array(*[F.struct(F.lit(n).alias("box_no"), F.lit(label).alias("label"), F.array(*map(F.lit, box)).alias("box")) for n, label, box in quarters])
+    boxes = b.select("record_id", "page_pos").distinct().select("*", F.inline(each))
     return L.best_layout(b, boxes).select("record_id", "page_pos", "block_pos", "box_no", "label", F.round("share", 6).alias("share"))
 
 

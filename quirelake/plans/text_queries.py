@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quirelake.functions import text as T
+from quirelake.functions.staging import late_filter
 from quirelake.operators.sequence import with_previous
 from quirelake.sources import block_texts, read_table
 
@@ -63,8 +64,8 @@ def token_pack(spark, sf_dir):
 
 
 def sections(spark, sf_dir):
-    s = _lines(spark, sf_dir).select("line", T.section(F.col("line")).alias("s")).where("s IS NOT NULL")
-    return s.select("line", "s.section", "s.body", "s.only")
+    s = _lines(spark, sf_dir).select("line", T.section(F.col("line")).alias("s"))
+    return late_filter(s, F.col("s").isNotNull()).select("line", "s.section", "s.body", "s.only")
 
 
 def section_prefix(spark, sf_dir):
