@@ -68,3 +68,19 @@ def build_chunks(blocks: DataFrame, most: int = 220, hard: int = 320, overlap: i
     strategy = F.when(F.col("kind") == "form_field", "form_fields").when(F.col("kind") == "narrative", "section_aware").otherwise("entity_preserving")
     types = F.array_sort(F.array_distinct(F.transform(E.entities(F.col("chunk_text")), lambda e: e["type"])))
     return chunk.withColumn("chunk_index", n).select("record_id", "chunk_index", F.format_string("%d:chunk:%04d", "record_id", "chunk_index").alias("chunk_id"), "page_pos", "section", strategy.alias("strategy"), F.when(F.col("kind") != "narrative", F.col("kind")).alias("entity_focus"), "chunk_text", F.length("chunk_text").alias("chunk_char_count"), types.alias("entity_types"))
+
+
+DEMOGRAPHIC = ("name", "address", "dob", "date", "allergies", "weight", "mrn", "patient_id")
+TITLES = {"name": "Patient Name", "address": "Address", "dob": "Date of Birth", "date": "Date", "allergies": "Allergies", "weight": "Weight", "mrn": "MRN", "patient_id": "Patient ID", "rx": "Prescription"}
+
+
+def form_chunks(pairs: DataFrame) -> DataFrame:
+    """Chunks of paired labels and values (record_id, page_pos, pair_no, label, value): one per pair, the first of equal ones,
+    and a profile of the page where it has two demographic lines and more."""
+    title = F.col("label")
+    for key, name in TITLES.items():
+        title = F.when(F.col("label") == key, name).otherwise(title)
+    first = pairs.groupBy("record_id", "page_pos", "label", "value").agg(F.min("pair_no").alias("pair_no")).withColumn("line", F.concat(title, F.lit(": "), "value"))
+    one = first.select("record_id", "page_pos", "pair_no", F.lit("form_field").alias("entity_focus"), F.col("line").alias("chunk_text"))
+    profile = first.where(F.col("label").isin(*DEMOGRAPHIC)).groupBy("record_id", "page_pos").agg(F.array_sort(F.collect_list(F.struct("pair_no", "line"))).alias("l")).where("size(l) >= 2")
+    return one.unionByName(profile.select("record_id", "page_pos", F.lit(-1).alias("pair_no"), F.lit("demographic_profile").alias("entity_focus"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("chunk_text")))

@@ -131,3 +131,16 @@ def by_route(pages: DataFrame, routes: dict[str, Callable[[DataFrame], DataFrame
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def pair_spans(questions: list[dict], answers: list[dict], back: float = 30, reach: float = 80) -> list[tuple[str, str, float]]:
+    """(question, answer, confidence) of spans {text, bbox, confidence}: each question takes the nearest free answer that
+    begins at most `back` left of it and lies within `reach` of its middle; the confidence is the mean of both."""
+    out, free = [], list(answers)
+    mid = lambda s: (s["bbox"][1] + s["bbox"][3]) / 2
+    for q in questions:
+        near = [(abs(mid(a) - mid(q)), a["bbox"][0], i) for i, a in enumerate(free) if a["bbox"][0] >= q["bbox"][0] - back and abs(mid(a) - mid(q)) <= reach]
+        if near:
+            a = free.pop(min(near)[2])
+            out.append((q["text"], a["text"], (q["confidence"] + a["confidence"]) / 2))
+    return out

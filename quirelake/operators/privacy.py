@@ -119,3 +119,23 @@ def context(cands: DataFrame, role: str = "role") -> DataFrame:
         "query_id", F.when(ok, F.col("chunk_id")).otherwise(F.substring_index("chunk_id", ":", -1)).alias("chunk_ref"), F.when(ok, F.col("document_id")).otherwise(masked_document(F.col("document_id"))).alias("document_ref"),
         ok.alias("authorized"), F.when(ok, F.col("text")).otherwise(generalise(redact(F.col("text"), spans))).alias("content"),
     )
+
+
+def identities(text: Column, spans: Column, key: bytes | None = None) -> Column:
+    """Ordered list of (name, digest) of the chosen spans' values, labels taken off; dates and ages have none."""
+    value = lambda s: F.regexp_replace(F.substring(text, s["start"] + 1, s["end"] - s["start"]), r"(?i)^(?:patient\s*name|name|uhid|uid|patient\s*id|ip\s*no|ip\s*number|mrn|medical\s*record\s*number|dob|date\s*of\s*birth)\s*[.:#-]?\s*", "")
+    kept = F.filter(spans, lambda s: ~s["kind"].isin("DATE", "AGE"))
+    return F.transform(kept, lambda s: F.struct(F.lower(s["kind"]).alias("name"), identity(value(s), key).alias("digest")))
+
+
+def identity_map(listed: Column) -> Column:
+    """name -> digest of an identity list; of several values of one name the last holds."""
+    names = F.array_distinct(F.transform(listed, lambda x: x["name"]))
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.element_at(F.filter(listed, lambda x: x["name"] == n), -1)["digest"])))
+
+
+def index_documents(chunks: DataFrame, text: str = "chunk_text", key: bytes | None = None) -> DataFrame:
+    """Chunks as they go to the index: the raw text with the digests of its identities beside it, in a map and in order."""
+    d = chunks.withColumn("_s", pick_spans(find_spans(F.coalesce(F.col(text), F.lit("")))))
+    d = d.withColumn("identity_list", identities(F.col(text), F.col("_s"), key)).drop("_s")
+    return d.withColumn("identity_hmacs", identity_map(F.col("identity_list")))

@@ -290,3 +290,17 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
 def l2_normalise(vec: Column) -> Column:
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return F.when(norm > 0, F.transform(vec, lambda x: x.cast("double") / norm))
+
+
+def keyword_index(docs: DataFrame, id_col: str, text_col: str) -> dict[str, DataFrame]:
+    """The tables of a keyword index: postings (id, term, tf, dl), term_stats (term, df, cf), corpus_stats (n_docs, avgdl)."""
+    post = postings(docs, id_col, text_col)
+    sizes = post.groupBy("id").agg(F.max("dl").alias("dl"))
+    return {"postings": post, "term_stats": post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "corpus_stats": sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))}
+
+
+def save_index(index: dict[str, DataFrame], path: str, partitions: int = 64) -> None:
+    """Writes an index; postings are laid out by term, so that a search reads the files of its terms."""
+    for name, df in index.items():
+        out = df.repartitionByRange(partitions, "term").sortWithinPartitions("term") if name == "postings" else df
+        out.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -11,6 +11,7 @@ from quirelake.operators import evaluate as V
 from quirelake.operators import privacy as P
 from quirelake.operators import registry as R
 from quirelake.plans.extract_queries import _BLOCKS, _blocks
+from quirelake.plans.layout_queries import label_pairing
 from quirelake.plans.retrieval_queries import _cands, _queries
 from quirelake.sources import read_table
 from quirelake.streaming import ingest
@@ -175,6 +176,17 @@ def identity_maps(spark, sf_dir):
     return c.groupBy("name").agg(F.count("*").alias("chunks"), F.countDistinct("digest").alias("digests"))
 
 
+def index_documents(spark, sf_dir):
+    """Chunks with the digests of the identities in their texts."""
+    c = read_table(spark, sf_dir, "medical_document_chunks").where("chunk_text IS NOT NULL").select("chunk_id", "chunk_text").distinct()
+    return P.index_documents(c, key=KEY).select("chunk_id", F.size("identity_list").alias("identities"), F.map_keys("identity_hmacs").alias("names"))
+
+
+def form_field_chunks(spark, sf_dir):
+    """Form fields and page profiles from paired labels and values."""
+    return C.form_chunks(label_pairing(spark, sf_dir))
+
+
 def stream_windows(spark, sf_dir):
     """Hourly counts by a stream over the events that have arrived, as closed by the watermark."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -189,7 +201,7 @@ def stream_arrivals(spark, sf_dir):
     return ingest.run_to_table(ingest.first_arrivals(stream, within="3650 days"), spark).select("file_hash")
 
 
-QUERIES = {f.__name__: f for f in (hmac_identity, redact_text, generalize_placeholders, context_mask, context_rows, audit_log, audit_masked, audit_page, audit_range, props_json, phrase_recall, recall_avg, question_similarity, best_key, answer_score, proc_times, section_carry, rx_orders, rx_summary, rx_order_texts, chunks, upsert_lww, registry_dedup, registry_lookup, artifact_keys, identity_maps, stream_windows, stream_arrivals)}
+QUERIES = {f.__name__: f for f in (hmac_identity, redact_text, generalize_placeholders, context_mask, context_rows, audit_log, audit_masked, audit_page, audit_range, props_json, phrase_recall, recall_avg, question_similarity, best_key, answer_score, proc_times, section_carry, rx_orders, rx_summary, rx_order_texts, chunks, upsert_lww, registry_dedup, registry_lookup, artifact_keys, identity_maps, index_documents, form_field_chunks, stream_windows, stream_arrivals)}
 
 _IPAD = bytes(b ^ 0x36 for b in KEY.ljust(64, b"\0")).hex()
 _OPAD = bytes(b ^ 0x5C for b in KEY.ljust(64, b"\0")).hex()

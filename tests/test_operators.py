@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import geometry as G
 from quirelake.functions import text as T
-from quirelake.operators import audit, extract, layout, privacy, registry, retrieval, sequence
+from quirelake.operators import audit, chunk, extract, layout, ocr, privacy, registry, retrieval, sequence
 from quirelake.sources.tables import block_texts, schema_of
 from quirelake.streaming import ingest
 
@@ -120,6 +120,34 @@ def test_hmac(spark):
     assert one(spark, privacy.identity(F.col("x"), b"k1"), value=("  ",)) is None
 
 
+def test_identity_maps(spark):
+    df = spark.createDataFrame([("Name: Ann Lee, Name: Bo Ray. MRN 12345",), ("nothing",), (None,)], "chunk_text string")
+    rows = privacy.index_documents(df, key=b"k").collect()
+    want = lambda v: hmac.new(b"k", v.encode(), hashlib.sha256).hexdigest()
+    assert [(x["name"], x["digest"]) for x in rows[0]["identity_list"]] == [("patient_name", want("ann lee")), ("patient_name", want("bo ray")), ("mrn", want("12345"))]
+    assert rows[0]["identity_hmacs"] == {"patient_name": want("bo ray"), "mrn": want("12345")} and rows[1]["identity_hmacs"] == {} and rows[2]["identity_list"] in ([], None)
+
+
+def test_index_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None)], "id int, text string")
+    ix = retrieval.keyword_index(docs, "id", "text")
+    assert sorted(map(tuple, ix["term_stats"].collect())) == [("a", 1, 2), ("b", 2, 2)] and tuple(ix["corpus_stats"].head()) == (2, 2.0)
+    retrieval.save_index(ix, str(tmp_path), 2)
+    assert spark.read.parquet(str(tmp_path / "postings")).count() == 3
+
+
+def test_form_chunks(spark):
+    pairs = spark.createDataFrame([(1, 0, 0, "name", "Ann"), (1, 0, 1, "dob", "1.1.1980"), (1, 0, 2, "name", "Ann"), (1, 1, 0, "rx", "x")], "record_id bigint, page_pos int, pair_no int, label string, value string")
+    got = sorted((r["page_pos"], r["pair_no"], r["entity_focus"], r["chunk_text"]) for r in chunk.form_chunks(pairs).collect())
+    assert got == [(0, -1, "demographic_profile", "Patient Name: Ann\nDate of Birth: 1.1.1980"), (0, 0, "form_field", "Patient Name: Ann"), (0, 1, "form_field", "Date of Birth: 1.1.1980"), (1, 0, "form_field", "Prescription: x")]
+
+
+def test_spans_pair():
+    s = lambda t, x, y, c=0.8: {"text": t, "bbox": [x, y, x + 50, y + 10], "confidence": c}
+    assert ocr.pair_spans([s("Name", 0, 0), s("Date", 0, 40)], [s("Ann", 80, 2, 0.6), s("1980", 80, 42), s("far", 80, 400)]) == [("Name", "Ann", 0.7), ("Date", "1980", 0.8)]
+    assert ocr.pair_spans([], [s("x", 0, 0)]) == []
+
+
 def test_audit_pages(spark):
     log = spark.createDataFrame([(f"2025-01-{d:02d}T00:00:00Z#x{d}", f"2025-01-{d:02d}") for d in range(1, 8)], "accessed_at string, d string").withColumn("accessed_day", F.to_date("d"))
     first = [r["accessed_at"] for r in audit.page(log, 3).collect()]
