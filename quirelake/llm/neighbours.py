@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quirelake.session import durable
+
 FIT_ROWS, PART_ROWS, MAX_PARTS = 24_576, 2048, 2048
 BLOCK_ROWS = 8192
 GRAPH_K = 8
@@ -206,14 +208,18 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 @dataclass
 class Result:
-    classes: DataFrame  # id, class_id: every valid id and the representative of its equal vectors
+    classes: DataFrame  # id, class_id, shared: every valid id and the representative of its equal vectors
     pairs: DataFrame  # a, b, cosine: representatives and their neighbours, up to k per a
 
 
 def classes_of(base: DataFrame) -> DataFrame:
-    """(id, class_id) of (id, vec): vectors meet by a digest; counted per digest before the join, so that a hot one is no hot task."""
-    keyed = base.select("id", F.unhex(F.md5("vec")).alias("key")).distinct()
-    return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("class_id")), "key").select("id", "class_id")
+    """(id, class_id, shared) of (id, vec): vectors meet by a digest; aggregated per digest before the join, so that a hot one is no hot task.
+
+    shared tells whether the class has more than one id.
+    """
+    keyed = base.select("id", F.unhex(F.md5("vec")).alias("key"))
+    per = keyed.groupBy("key").agg(F.min("id").alias("class_id"), (F.min("id") != F.max("id")).alias("shared"))
+    return keyed.join(per, "key").select("id", "class_id", "shared").distinct()
 
 
 def search(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, floor: float = -1.0, recall: float = 0.95, probes: int | None = None, fit_rows: int = FIT_ROWS) -> Result:
@@ -318,9 +324,7 @@ def expand(result: Result, name: str, limit: int = 6) -> DataFrame:
     For each class its `limit` smallest members stand for the class on the side of the neighbour, as they fill the
     places of the nearest; every member has its row on the other side. A class of copies is never joined with itself.
     """
-    c = result.classes
-    many = c.where("id <> class_id").select("class_id").distinct()
-    multi = c.join(many, "class_id")
+    multi = durable(result.classes.where("shared").select("class_id", "id"))  # read three times below
     nth = F.row_number().over(Window.partitionBy("class_id").orderBy("id"))
     few = multi.withColumn("n", nth).where(F.col("n") <= limit).select("class_id", F.col("id").alias("near"))
     same = multi.join(few, "class_id").where("id <> near").select(F.col("id").alias("id_a"), F.col("near").alias("id_b"), F.lit(1.0).alias("cosine"))
