@@ -61,7 +61,7 @@ def balanced(df: DataFrame, *keys: str) -> DataFrame:
     For plans without a shuffle of their own: the number of partitions is read from the plan, nothing runs.
     """
     try:
-        enough = df._jdf.toJavaRDD().getNumPartitions() >= 2 * slots(df.sparkSession)
+        enough = df._jdf.toJavaRDD().getNumPartitions() >= slots(df.sparkSession)
     except Exception:  # no access to the plan
         enough = False
     return df if enough else spread(df, *keys)
