@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quirelake.session import spread
+from quirelake.session import balanced
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 EXAMPLES, UNLABELLED = 20_000, 3_000
@@ -35,7 +35,7 @@ PRIORS = {"abusive": 0.01, "hateful": 0.01, "sexual": 0.01}
 
 # Concepts and their words in English, German, French and Spanish, without accents; * stands for any ending.
 CONCEPTS = {
-    "insult": "idiot* moron* scumbag* bastard* dimwit* jackass* imbecil* cretin* loser* arsehole* asshole* jerk* dumbass* fool fools halfwit* twat* wanker* bitch* maggot* clown* creep creeps trottel arschloch idiot* depp vollidiot* schwachkopf* mistkerl* drecksack* blodmann* connard* conne salaud* salope* abruti* debile* ordure* idiota* imbecil* gilipollas cabron* estupid* pendejo* tarado*",
+    "insult": "idiot* moron* scumbag* bastard* dimwit* jackass* imbecil* cretin cretins cretino cretinos cretine loser* arsehole* asshole* jerk* dumbass* fool fools halfwit* twat* wanker* bitch* maggot* clown* creep creeps trottel arschloch idiot* depp vollidiot* schwachkopf* mistkerl* drecksack* blodmann* connard* conne salaud* salope* abruti* debile* ordure* idiota* imbecil* gilipollas cabron* estupid* pendejo* tarado*",
     "demean": "worthless pathetic useless filthy stupid brainless disgusting miserable spineless dirty nutzlos* dumm* erbarmlich* dreckig* widerlich* bescheuert* stupide* inutile* minable* pathetique* sale pauvre inutil* asquerosa* asqueroso* patetic*",
     "hostile": "screw fuck* damn shit hell shut verpiss* klappe fresse maul verdammt* gueule merde foutez foutre casse callate mierda joder infierno pudra pudras",
     "harm": "kill hurt bleed beat burn die dead suffer smash break strangle stab shoot umbringen totet* bluten verrecken krepier* schlagen tuer* creve* crevent saigner mourir matar* sangrar morir morirte muera* pagar",
@@ -45,15 +45,16 @@ CONCEPTS = {
     "people": "people all those these such alle diese tous toutes ces todos todas esos esas ces los las",
     "subhuman": "vermin animal* rats rat subhuman* plague parasite* liar* lice breed cockroach* ungeziefer tiere ratten parasiten lugner vermine animaux parasites menteur* plaga animales ratas mentiroso* alimanas",
     "expel": "belong away throw wiped rot rid ban deport country raus rausgeworfen rauswerfen abschieben dehors virer echen fuera expuls* pudran verrecken crevent refuse decent",
-    "sexual": "horny naked nude* sexy underwear pics strip undress* hook singles dirty kinky breasts ass grope* fondle* lick* moan* porn* topless undressed cock pussy orgasm nackt* geil* ausziehen nue nues sexy coquin* bander deshabille* desnud* cachond* tetas culo follar braguita* bragas",
+    "sexual": "horny naked nude* sexy underwear pics strip undress* hook singles dirty kinky breasts grope* fondle* lick* moan* porn* topless undressed cock pussy orgasm nackt* geil* ausziehen nue nues sexy bander deshabille* desnud* cachond* tetas culo follar braguita* bragas",
     "want": "want dreaming dream send sends show fancy quiero mandame envia* sueno veux envoie* reve* schick* traume zeig*",
     "bed": "bed tonight bett nacht lit nuit soir cama noche",
     "clinical": "rash visible eye layer skin thickened garden finches watching test strip wet genital exam rectal examination vaginal discharge swab sexual history intercourse contraception condoms erectile dysfunction pest control flat dressing changed vaccine bullied abuse screened house students shared forgetting sorry angry tissue removed choked tablet killed idiopathic cockroach allergen chicken breast mole moles",
 }
 _LEET = str.maketrans("013457$@!|€", "oieastsaile")
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿᠎]")
+_MARKS = re.compile("[\u0300-\u036f]+")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W_][ .\-_*·]){2,}[^\W_](?![^\W_])")
-_MIXED = re.compile(r"[^\s.,;:?\"()]*[^\W\d_][^\s.,;:?\"()]*")
+_MIXED = re.compile(r"[^\s.,;:?\"()]*[013457$@!|€][^\s.,;:?\"()]*")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _PHRASES = re.compile(r"\bpauvre con\b", re.I)
 _SENTENCE = re.compile(r"[.!?…]+[\"')\]]*\s+|[\r\n]+|\s{2,}")
@@ -70,6 +71,7 @@ def _concept_tables() -> tuple[dict, list]:
 
 
 _WHOLE, _STEMS = _concept_tables()
+_LISTED = list(dict.fromkeys((w.rstrip("*"), w.endswith("*")) for words in CONCEPTS.values() for w in words.split()))
 _STEM_AT: dict[str, list] = {}
 for _s, _n in _STEMS:
     _STEM_AT.setdefault(_s[:3], []).append((_s, _n))
@@ -98,7 +100,7 @@ def _known(word: str) -> bool:
 def _unleet(m: re.Match, memo: dict = {}) -> str:  # noqa: B006
     """A word with look-alike signs, if it then is a word of a concept; others stay."""
     w = m[0]
-    if w.isalpha() or not any(c in "013457$@!|€" for c in w) or re.fullmatch(r"[^\W\d_]+[!|]+", w):
+    if w.isdigit() or w.isalpha() or not any(c.isalpha() for c in w) or re.fullmatch(r"[^\W\d_]+[!|]+", w):
         return w
     if w not in memo:
         core = w.rstrip("!|")
@@ -113,23 +115,28 @@ def _uncensor(m: re.Match, memo: dict = {}) -> str:  # noqa: B006
     """A word with starred letters, if just that many letters give a word of a concept."""
     w = m[0].lower()
     if w not in memo:
-        shape = re.compile("".join("[a-z]" if c in "*#" else re.escape(c) for c in w))
-        words = [x for x in (*_WHOLE, *(s for s, _ in _STEMS)) if shape.fullmatch(x) and _known(x)]
-        plural = [x for x in (*_WHOLE, *(s for s, _ in _STEMS)) if shape.fullmatch(x + "s") and _known(x)]
+        shape = ["[a-z]" if c in "*#" else re.escape(c) for c in w]
+        words = []
+        for x, is_stem in _LISTED:  # in the order of the vocabulary
+            if len(x) == len(w) or (is_stem and len(x) < len(w) <= len(x) + 3) or len(x) + 1 == len(w):
+                if re.fullmatch("".join(shape[: len(x)]), x) and re.fullmatch("[a-z*#]*", w[len(x) :]) and _known(x):
+                    words.append((-sum(c not in "*#" for c in w[: len(x)]), abs(len(w) - len(x)), len(words), x))  # most letters in place, then length
         if len(memo) > 100_000:
             memo.clear()
-        memo[w] = (words + plural + [m[0]])[0]
+        memo[w] = min(words)[-1] if words else m[0]
     return memo[w]
 
 
 def plain(text: str) -> str:
-    """Lower case without accents; disguises undone."""
-    t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    """Lower case without accents; disguises undone. Steps that a text gives no cause for are passed over."""
+    t = text if text.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m[0]), t)
-    t = _CENSORED.sub(_uncensor, t)
-    t = _MIXED.sub(_unleet, t)
-    t = _PHRASES.sub("pauvre connard", _STRETCHED.sub(r"\1", t))
-    return "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
+    if "*" in t or "#" in t:
+        t = _CENSORED.sub(_uncensor, t)
+    t = _STRETCHED.sub(r"\1", _MIXED.sub(_unleet, t)).lower()
+    if "pauvre con" in t:
+        t = _PHRASES.sub("pauvre connard", t)
+    return t if t.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", t))
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -145,29 +152,47 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
+def _of_word(word: str, memo: dict = {}) -> tuple:  # noqa: B006
+    """(hash, concepts, hash of the concepts or 0) of a word."""
+    got = memo.get(word)
+    if got is None:
+        c = concepts_of(word)
+        if len(memo) > 200_000:
+            memo.clear()
+        got = memo[word] = (crc32(word.encode()), tuple(sorted(c)), crc32(("t " + "|".join(sorted(c))).encode()) if c else 0)
+    return got
+
+
+def _of_names(kind: str, *names: object, memo: dict = {}) -> int:  # noqa: B006
+    got = memo.get((kind, names))
+    if got is None:
+        got = memo[kind, names] = crc32(f"{kind} {' '.join(map(str, names))}".encode()) % DIMENSIONS  # few: concepts and their pairs
+    return got
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features and weights of one sentence."""
-    found: dict[str, float] = {}
-    held: set[str] = set()
-    tags = []
+    found: dict[int, float] = {}
+    held: dict[str, int] = {}
+    before = before_tag = None
     for w in words:
-        c = concepts_of(w)
-        held |= c
-        tags.append("|".join(sorted(c)) if c else "")
+        h, concepts, tag = _of_word(w)
+        for c in concepts:
+            held[c] = held.get(c, 0) + 1
         if not w.isdigit():
-            found["w " + w] = 0.35
-    for a, b, ta, tb in zip(words, words[1:], tags, tags[1:]):
-        found[f"b {a} {b}"] = 0.35
-        if ta and tb:
-            found[f"t {ta} {tb}"] = 0.7
+            found[h % DIMENSIONS] = 0.35
+        if before is not None:
+            found[(before * 0x9E3779B1 + h * 0x85EBCA6B + 7) % 4294967291 % DIMENSIONS] = 0.35
+            if tag and before_tag:
+                found[(before_tag * 0x9E3779B1 + tag * 0x85EBCA6B + 11) % 4294967291 % DIMENSIONS] = 0.7
+        before, before_tag = h, tag
     names = sorted(held)
     for i, a in enumerate(names):
-        found["c " + a] = 1.0
-        found[f"n {a} {min(3, sum(a in concepts_of(w) for w in words))}"] = 0.7
+        found[_of_names("c", a)] = 1.0
+        found[_of_names("n", a, min(3, held[a]))] = 0.7
         for b in names[i + 1 :]:
-            found[f"p {a} {b}"] = 1.0
-    keys = np.fromiter((crc32(k.encode()) % DIMENSIONS for k in found), np.int64, len(found))
-    return keys, np.fromiter(found.values(), np.float32, len(found))
+            found[_of_names("p", a, b)] = 1.0
+    return np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.float32, len(found))
 
 
 @dataclass
@@ -185,20 +210,28 @@ class Model:
             out[:, c] += np.bincount(at, self.weights[c, keys] * vals, minlength=len(rows))
         return out
 
-    def scores(self, text: str | None, memo: dict) -> np.ndarray:
-        """Highest score of each category over the sentences; memo keeps the scores of sentences seen before."""
-        found = sentences(text)
-        if not found:
-            return np.zeros(len(self.bias))
-        keys = [" ".join(s) for s in found]
-        new = {k: s for k, s in zip(keys, found) if k not in memo}
+    def score_all(self, texts: list[str | None], memo: dict) -> np.ndarray:
+        """Highest score of each category over the sentences of each text; memo keeps the scores of sentences seen before."""
         if len(memo) > 200_000:
             memo.clear()
-            new = dict(zip(keys, found))
+        keyed: list[list[str]] = []
+        new: dict[str, list[str]] = {}
+        for t in texts:
+            keys = []
+            for s in sentences(t):
+                k = " ".join(s)
+                keys.append(k)
+                if k not in memo and k not in new:
+                    new[k] = s
+            keyed.append(keys)
         if new:
             m = 1 / (1 + np.exp(-np.clip(self.margins([features(s) for s in new.values()]), -30, 30)))
             memo.update(zip(new, m))
-        return np.max([memo[k] for k in keys], axis=0)
+        nothing = np.zeros(len(self.bias))
+        return np.array([np.max([memo[k] for k in keys], axis=0) if keys else nothing for keys in keyed]).reshape(-1, len(self.bias))
+
+    def scores(self, text: str | None, memo: dict) -> np.ndarray:
+        return self.score_all([text], memo)[0]
 
 
 def _stack(rows):
@@ -296,8 +329,9 @@ def score_documents(documents: DataFrame, model: Model, id_col: str = "doc_id",
     def run(batches):
         memo: dict = {}
         for pdf in batches:
-            s = np.array([shared.value.scores(t, memo) for t in pdf[text_col]]).reshape(-1, len(CATEGORIES))
+            texts = pdf[text_col].tolist()
+            s = np.concatenate([shared.value.score_all(texts[lo : lo + 500], memo) for lo in range(0, len(texts), 500)]) if texts else np.zeros((0, len(CATEGORIES)))
             yield pd.DataFrame({id_col: pdf[id_col], **{c: s[:, i] for i, c in enumerate(CATEGORIES)}})
 
     kind = dict(documents.dtypes)[id_col]
-    return spread(documents.select(id_col, text_col), id_col).mapInPandas(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} double" for c in CATEGORIES))
+    return balanced(documents.select(id_col, text_col), id_col).mapInPandas(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} double" for c in CATEGORIES))

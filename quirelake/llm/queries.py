@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quirelake.llm import moderate, neighbours, pack, pii, rank, repair, split, tokens
 from quirelake.llm.texts import chunk_texts, payload_texts, truth_texts
-from quirelake.session import durable, spread
+from quirelake.session import balanced, durable
 from quirelake.sources import read_table
 
 
@@ -94,12 +94,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokens.encode_column(spread(docs, "doc_id"), "doc_id", "text")
+    return tokens.encode_column(balanced(docs, "doc_id"), "doc_id", "text")
 
 
 def p9_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return durable(tokens.encode_column(spread(docs, "doc_id"), "doc_id", "text", counts_only=True))
+    return durable(tokens.encode_column(balanced(docs, "doc_id"), "doc_id", "text", counts_only=True))
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
