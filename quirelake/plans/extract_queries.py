@@ -84,7 +84,7 @@ _N = "([^A-Za-z0-9_]|$)"
 _P = "(^|[^A-Za-z0-9_])"
 _BLOCKS = """pg AS (SELECT record_id, pages, unnest(range(1, len(pages) + 1)) AS i FROM (SELECT DISTINCT ON (record_id) record_id, pages FROM document_payloads)),
 bl AS (SELECT record_id, i, pages[i] AS p, unnest(range(1, len(pages[i].blocks) + 1)) AS j FROM pg),
-blocks AS (SELECT record_id, i - 1 AS page_pos, j - 1 AS block_pos, p.page_number, p.page_type, p.blocks[j] AS b FROM bl WHERE p.blocks[j] IS NOT NULL)"""
+blocks AS (SELECT record_id, (i - 1)::INT AS page_pos, (j - 1)::INT AS block_pos, p.page_number, p.page_type, p.blocks[j] AS b FROM bl WHERE p.blocks[j] IS NOT NULL)"""
 _FIX = "regexp_replace(coalesce(line, ''), 'x', 'x')"
 for _a, _b in E.OCR_FIXES:
     _FIX = f"replace({_FIX}, '{_a}', '{_b}')"
@@ -127,7 +127,7 @@ SELECT text, key, arg_max(value, i) AS value FROM k WHERE key <> '' GROUP BY tex
     "text_blocks": f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n[ \\t\\r]*\\n'), lambda x: regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g')), lambda x: x <> '') AS p, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, CASE WHEN len(p) > 1 THEN p ELSE l END AS u FROM s) SELECT doc_id, unnest(range(len(u)::BIGINT))::INT AS block_no, unnest(u) AS block_text FROM c""",
     "table_rows": f"""WITH {_BLOCKS}, r AS (SELECT record_id, page_pos, block_pos, b.structured_data.columns AS c, b.structured_data.rows AS rs, unnest(range(1, len(b.structured_data.rows) + 1)) AS k FROM blocks WHERE b.type = 'table'),
-x AS (SELECT record_id, page_pos, block_pos, k - 1 AS row_pos, coalesce(len(list_filter(c, lambda y: regexp_matches(y, '(?i)medication|drug|dosage|dose|frequency'))) > 0, false) AS medication_table, array_to_string(list_transform(list_filter(rs[k], lambda y: trim(coalesce(y.v, '')) <> ''), lambda y: y.k || ': ' || trim(y.v)), '; ') AS chunk_text FROM r)
+x AS (SELECT record_id, page_pos, block_pos, (k - 1)::INT AS row_pos, coalesce(len(list_filter(c, lambda y: regexp_matches(y, '(?i)medication|drug|dosage|dose|frequency'))) > 0, false) AS medication_table, array_to_string(list_transform(list_filter(rs[k], lambda y: trim(coalesce(y.v, '')) <> ''), lambda y: y.k || ': ' || trim(y.v)), '; ') AS chunk_text FROM r)
 SELECT * FROM x WHERE chunk_text <> ''""",
     "table_summary": f"""WITH {_BLOCKS}, r AS (SELECT record_id, page_pos, block_pos, b.structured_data.rows AS rs, unnest(range(1, len(b.structured_data.rows) + 1)) AS k FROM blocks WHERE b.type = 'table'),
 x AS (SELECT record_id, page_pos, block_pos, k, array_to_string(list_transform(list_filter(rs[k], lambda y: trim(coalesce(y.v, '')) <> ''), lambda y: y.k || ': ' || trim(y.v)), '; ') AS t FROM r)

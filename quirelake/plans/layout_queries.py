@@ -64,10 +64,12 @@ def bbox_ops(spark, sf_dir):
     b = _blocks(spark, sf_dir).where("size(block.bbox) = 4")
     box = F.col("block.bbox")
     r = lambda c: F.transform(c, lambda x: F.round(x, 3))
-    return b.select(
+    ops = b.select(
         "record_id", "page_pos", "block_pos", G.to_thousand(box, F.lit(W), F.lit(H)).alias("thousand"), r(G.clip(box, F.lit(300.0), F.lit(400.0))).alias("clipped"), r(G.pad(box, 10.0, F.lit(W), F.lit(H))).alias("padded"),
         r(G.shift(box, F.lit(5.0), F.lit(-5.0))).alias("shifted"), r(G.flip(box, F.lit(H))).alias("flipped"), r(G.scale(box, F.lit(150 / 72))).alias("pixels"), r(G.union(box, F.array(F.lit(0.0), F.lit(0.0), F.lit(50.0), F.lit(50.0)))).alias("united"),
     )
+    names = ("thousand", "clipped", "padded", "shifted", "flipped", "pixels", "united")
+    return ops.select("record_id", "page_pos", "block_pos", *[F.col(n)[i].alias(f"{n}_{i}") for n in names for i in range(4)])
 
 
 def neighbour_overlap(spark, sf_dir):
@@ -159,7 +161,7 @@ def line_merge(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (image_coverage, page_route, crop_heuristic, review_flags, doc_summary, usage_totals, bbox_ops, neighbour_overlap, block_order, region_order, right_side_values, best_layout, span_groups, paragraph_merge, column_cluster, label_pairing, line_merge)}
 
-_PAGES = """pgs AS (SELECT record_id, input_file, i - 1 AS page_pos, pages[i] AS p FROM (SELECT record_id, input_file, pages, unnest(range(1, len(pages) + 1)) AS i FROM (SELECT DISTINCT ON (record_id) * FROM document_payloads)) WHERE pages[i] IS NOT NULL)"""
+_PAGES = """pgs AS (SELECT record_id, input_file, (i - 1)::INT AS page_pos, pages[i] AS p FROM (SELECT record_id, input_file, pages, unnest(range(1, len(pages) + 1)) AS i FROM (SELECT DISTINCT ON (record_id) * FROM document_payloads)) WHERE pages[i] IS NOT NULL)"""
 _AREA = "greatest(x[3] - x[1], 0) * greatest(x[4] - x[2], 0)"
 _WS = r" \t\n\r\f\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _LB = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
@@ -188,18 +190,18 @@ a AS (SELECT record_id, count(*) AS total_pages, count(*) FILTER (p.page_type =
 b AS (SELECT record_id, count(*) AS total_blocks, count(*) FILTER (b.type = 'table') AS tables, count(*) FILTER (b.type = 'form') AS forms, count(*) FILTER (b.type = 'prescription_item') AS prescriptions, count(*) FILTER (b.needs_review) AS flagged FROM blocks GROUP BY record_id)
 SELECT record_id, coalesce(total_pages, 0) AS total_pages, coalesce(copyable_pdf, 0) AS copyable_pdf, coalesce(mixed_pdf, 0) AS mixed_pdf, coalesce(handwritten_prescription, 0) AS handwritten_prescription, coalesce(fully_scanned_report_form_table, 0) AS fully_scanned_report_form_table, coalesce(total_blocks, 0) AS total_blocks, coalesce(tables, 0) AS tables, coalesce(forms, 0) AS forms, coalesce(prescriptions, 0) AS prescriptions, coalesce(flagged, 0) AS flagged FROM r LEFT JOIN a USING (record_id) LEFT JOIN b USING (record_id)""",
     "usage_totals": "SELECT event_type, count(*) AS requests, round(sum(value), 4) AS total, round(sum(value * 0.002::DOUBLE), 4) AS cost FROM events GROUP BY event_type",
-    "bbox_ops": f"""WITH {_BLOCKS}, s AS (SELECT record_id, page_pos, block_pos, b.bbox AS x FROM blocks WHERE len(b.bbox) = 4), r AS (SELECT *, [x[1] * 1000 / {W}, x[2] * 1000 / {H}, x[3] * 1000 / {W}, x[4] * 1000 / {H}] AS k FROM s)
-SELECT record_id, page_pos, block_pos, list_transform(k, lambda v: greatest(0, least(1000, floor(v)))::INT) AS thousand, list_transform([greatest(0, least(x[1], 300)), greatest(0, least(x[2], 400)), greatest(0, least(x[3], 300)), greatest(0, least(x[4], 400))], lambda v: round(v, 3)) AS clipped,
+    "bbox_ops": f"""WITH {_BLOCKS}, s AS (SELECT record_id, page_pos, block_pos, b.bbox AS x FROM blocks WHERE len(b.bbox) = 4), r AS (SELECT *, [x[1] * 1000 / {W}, x[2] * 1000 / {H}, x[3] * 1000 / {W}, x[4] * 1000 / {H}] AS k FROM s),
+o AS (SELECT record_id, page_pos, block_pos, list_transform(k, lambda v: greatest(0, least(1000, floor(v)))::INT) AS thousand, list_transform([greatest(0, least(x[1], 300)), greatest(0, least(x[2], 400)), greatest(0, least(x[3], 300)), greatest(0, least(x[4], 400))], lambda v: round(v, 3)) AS clipped,
 list_transform([greatest(0, least(x[1] - 10, {W})), greatest(0, least(x[2] - 10, {H})), greatest(0, least(x[3] + 10, {W})), greatest(0, least(x[4] + 10, {H}))], lambda v: round(v, 3)) AS padded, list_transform([x[1] + 5, x[2] - 5, x[3] + 5, x[4] - 5], lambda v: round(v, 3)) AS shifted,
-list_transform([x[1], {H} - x[4], x[3], {H} - x[2]], lambda v: round(v, 3)) AS flipped, list_transform(x, lambda v: round(v * (150 / 72::DOUBLE), 3)) AS pixels, list_transform([least(x[1], 0), least(x[2], 0), greatest(x[3], 50), greatest(x[4], 50)], lambda v: round(v, 3)) AS united FROM r""",
+list_transform([x[1], {H} - x[4], x[3], {H} - x[2]], lambda v: round(v, 3)) AS flipped, list_transform(x, lambda v: round(v * (150 / 72::DOUBLE), 3)) AS pixels, list_transform([least(x[1], 0), least(x[2], 0), greatest(x[3], 50), greatest(x[4], 50)], lambda v: round(v, 3)) AS united FROM r) SELECT record_id, page_pos, block_pos, """ + ", ".join(f"{n}[{i + 1}] AS {n}_{i}" for n in ("thousand", "clipped", "padded", "shifted", "flipped", "pixels", "united") for i in range(4)) + " FROM o",
     "neighbour_overlap": f"""WITH {_BLOCKS}, s AS (SELECT record_id, page_pos, block_pos, b.bbox AS a, lead(b.bbox) OVER (PARTITION BY record_id, page_pos ORDER BY block_pos) AS n FROM blocks),
 r AS (SELECT *, greatest(least(a[3], n[3]) - greatest(a[1], n[1]), 0) AS iw, greatest(least(a[4], n[4]) - greatest(a[2], n[2]), 0) AS ih, greatest(a[3] - a[1], 0) AS w, greatest(a[4] - a[2], 0) AS h, greatest(n[3] - n[1], 0) AS nw FROM s WHERE len(a) = 4 AND len(n) = 4)
 SELECT record_id, page_pos, block_pos, round(CASE WHEN least(w, nw) > 0 THEN iw / least(w, nw) ELSE 0 END, 6) AS x_overlap, round(CASE WHEN w * h > 0 THEN iw * ih / (w * h) ELSE 0 END, 6) AS covered FROM r""",
-    "block_order": f"WITH {_BLOCKS} SELECT record_id, page_pos, block_pos, row_number() OVER (PARTITION BY record_id, page_pos ORDER BY coalesce(b.metadata.reading_order, 1000000000), {_Y}, {_X}, block_pos) AS ord FROM blocks",
+    "block_order": f"WITH {_BLOCKS} SELECT record_id, page_pos, block_pos, row_number() OVER (PARTITION BY record_id, page_pos ORDER BY coalesce(b.metadata.reading_order, 1000000000), {_Y}, {_X}, block_pos)::INT AS ord FROM blocks",
     "region_order": f"""WITH {_BLOCKS}, m AS (SELECT *, max(b.bbox[4]) OVER (PARTITION BY record_id, page_pos) AS pb FROM blocks),
 r AS (SELECT *, coalesce(lower(b.metadata.region), CASE WHEN b.bbox[4] <= 0.14::DOUBLE * pb THEN 'header' WHEN b.bbox[2] >= 0.94::DOUBLE * pb THEN 'footer' END, lower(b.metadata.layout_label), lower(b.type), 'other') AS region FROM m),
 p AS (SELECT *, CASE WHEN region IN ('title', 'header') THEN 0 WHEN region IN ('table', 'form') THEN 2 WHEN region = 'footer' THEN 3 ELSE 1 END AS priority FROM r)
-SELECT record_id, page_pos, block_pos, region, priority, row_number() OVER (PARTITION BY record_id, page_pos ORDER BY priority, {_Y}, {_X}, block_pos) AS ord FROM p""",
+SELECT record_id, page_pos, block_pos, region, priority, row_number() OVER (PARTITION BY record_id, page_pos ORDER BY priority, {_Y}, {_X}, block_pos)::INT AS ord FROM p""",
     "right_side_values": f"""WITH {_BLOCKS}, o AS (SELECT record_id, page_pos, block_pos, b.type AS type, b.bbox AS x, row_number() OVER (PARTITION BY record_id, page_pos ORDER BY coalesce(b.metadata.reading_order, 1000000000), {_Y}, {_X}, block_pos) AS ord,
  len(list_filter(string_split(coalesce(b.text, ''), chr(10)), lambda l: lower(regexp_extract(regexp_replace(regexp_replace(l, '[{_WS}]+', ' ', 'g'), '^ | $', '', 'g'), '^([A-Za-z][A-Za-z /_\\-]{{0,40}}?) ?:?$', 1)) IN ('date', 'patient name', 'name', 'address', 'dob', 'date of birth', 'allergies', 'allergy', 'weight', 'mrn', 'patient id', 'id', 'rx', 'prescription'))) AS labels FROM blocks)
 SELECT l.record_id, l.page_pos, l.block_pos AS label_pos, v.block_pos FROM o l JOIN o v USING (record_id, page_pos) WHERE l.labels >= 2 AND len(l.x) = 4 AND len(v.x) = 4 AND v.type IN ('paragraph', 'form') AND v.ord > l.ord AND v.x[1] > l.x[3] - 8 AND v.x[2] >= l.x[2] - 18 AND v.x[2] <= l.x[4] + greatest(120, 0.75::DOUBLE * greatest(l.x[4] - l.x[2], 0))""",

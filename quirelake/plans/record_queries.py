@@ -148,7 +148,7 @@ def chunks(spark, sf_dir):
 def upsert_lww(spark, sf_dir):
     """The chunk index after all writes: the last row of each id, blank texts left out."""
     c = read_table(spark, sf_dir, "medical_document_chunks").where("chunk_id IS NOT NULL AND trim(chunk_text) <> ''").select("chunk_id", "document_id", "chunk_text", "ingested_at")
-    return R.last_write(c, ["chunk_id"], ["ingested_at", "chunk_text"])
+    return R.last_write(c, ["chunk_id"], ["ingested_at", "chunk_text"]).drop("ingested_at")
 
 
 def registry_dedup(spark, sf_dir):
@@ -191,7 +191,7 @@ def stream_windows(spark, sf_dir):
     """Hourly counts by a stream over the events that have arrived, as closed by the watermark."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
-    return ingest.run_to_table(ingest.window_counts(stream), spark).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return ingest.run_to_table(ingest.window_counts(stream), spark).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def stream_arrivals(spark, sf_dir):
@@ -271,11 +271,11 @@ SELECT record_id, page_pos, block_pos, coalesce(last_value(sec IGNORE NULLS) OVE
     "rx_orders": f"WITH {_RXL} SELECT record_id, page_pos, block_pos, line_no, order_no, part FROM v",
     "rx_order_texts": f"WITH {_RXL} SELECT record_id, order_no, string_agg(line, ' ' ORDER BY page_pos, block_pos, line_no) AS order_text FROM v WHERE part <> 'note' GROUP BY ALL",
     "rx_summary": f"WITH {_RXL}, n AS (SELECT *, row_number() OVER (PARTITION BY record_id, lower(line) ORDER BY page_pos, block_pos, line_no) AS k FROM x WHERE trim(line) <> '') SELECT record_id, string_agg(line, chr(10) ORDER BY page_pos, block_pos, line_no) AS summary, count(*)::INT AS lines FROM n WHERE k = 1 GROUP BY record_id",
-    "upsert_lww": "SELECT chunk_id, document_id, chunk_text, ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, chunk_text DESC) AS n FROM medical_document_chunks WHERE chunk_id IS NOT NULL AND trim(chunk_text, ' ') <> '') WHERE n = 1",
+    "upsert_lww": "SELECT chunk_id, document_id, chunk_text FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, chunk_text DESC) AS n FROM medical_document_chunks WHERE chunk_id IS NOT NULL AND trim(chunk_text, ' ') <> '') WHERE n = 1",
     "registry_dedup": "SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "registry_lookup": "SELECT doc_id, sha256(text) AS file_hash FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source = 'discharge_summary' AND text IS NOT NULL)",
     "artifact_keys": "SELECT DISTINCT document_id, 's3a://bucket/raw/' || coalesce(document_id || '/', '') || 'chunks/0001.json' AS uri, 'bucket' AS bucket, 'raw/' || coalesce(document_id || '/', '') || 'chunks/0001.json' AS key FROM document_payloads",
     "identity_maps": "SELECT name, count(*) AS chunks, count(DISTINCT digest) AS digests FROM (SELECT DISTINCT chunk_id, unnest(map_keys(metadata.identity_hmacs)) AS name, unnest(map_values(metadata.identity_hmacs)) AS digest FROM medical_document_chunks) GROUP BY name",
-    "stream_windows": "WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events) SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT mark FROM m)",
+    "stream_windows": "WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events) SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= (SELECT mark FROM m)",
     "stream_arrivals": "SELECT DISTINCT sha256(text) AS file_hash FROM documents WHERE text IS NOT NULL",
 }

@@ -166,17 +166,17 @@ n AS (SELECT doc_id, t, len(t) AS dl FROM d WHERE len(t) > 0), s AS (SELECT coun
 p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, dl, unnest(t) AS term FROM n) GROUP BY ALL), i AS (SELECT term, ln(1 + (nd - count(*) + 0.5) / (count(*) + 0.5)) AS idf, avgdl FROM p, s GROUP BY term, nd, avgdl),
 a AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, lower(unnest(regexp_extract_all(query_text, '[A-Za-z0-9]+'))) AS term FROM q WHERE substr(query_id, 2)::BIGINT % 50 = 0) GROUP BY ALL),
 r AS (SELECT query_id, doc_id, sum(qtf * idf * tf * ({k1} + 1)::DOUBLE / (tf + {k1}::DOUBLE * (0.25 + 0.75 * dl / avgdl))) AS score FROM a JOIN i USING (term) JOIN p USING (term) GROUP BY ALL)
-SELECT query_id, doc_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10"""
+SELECT query_id, doc_id, round(score, 5) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10"""
 
 
 _VEC = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, q.label AS ql, v.label, list_cosine_similarity(q.e, v.e) AS cosine FROM v AS q, v WHERE q.vec_id % 50 = 0 {on})"""
 SQL = {
     "bm25_topk": _bm25(1.5),
     "bm25_fts_profile": _bm25(1.2),
-    "vector_topk": f"WITH {_VEC.replace('{on}', '')} SELECT query_id, vec_id, round(cosine, 5) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id::VARCHAR) AS rank FROM s) WHERE rank <= 10",
-    "vector_topk_scoped": f"WITH {_VEC.replace('{on}', 'AND q.label = v.label')} SELECT query_id, vec_id, round(cosine, 5) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id::VARCHAR) AS rank FROM s) WHERE rank <= 5",
-    "vector_topk_postfiltered": f"WITH {_VEC.replace('{on}', '')} SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id::VARCHAR) AS rank FROM s) WHERE rank <= 10 AND ql = label",
-    "rrf_fusion": f"WITH {_FUSED} SELECT query_id, chunk_id, semantic_rank, keyword_rank, round(fused, 6) AS fused, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, chunk_id) AS place FROM f",
+    "vector_topk": f"WITH {_VEC.replace('{on}', '')} SELECT query_id, vec_id, round(cosine, 5) AS cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id::VARCHAR) AS rank FROM s) WHERE rank <= 10",
+    "vector_topk_scoped": f"WITH {_VEC.replace('{on}', 'AND q.label = v.label')} SELECT query_id, vec_id, round(cosine, 5) AS cosine, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id::VARCHAR) AS rank FROM s) WHERE rank <= 5",
+    "vector_topk_postfiltered": f"WITH {_VEC.replace('{on}', '')} SELECT query_id, vec_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id::VARCHAR) AS rank FROM s) WHERE rank <= 10 AND ql = label",
+    "rrf_fusion": f"WITH {_FUSED} SELECT query_id, chunk_id, semantic_rank::INT AS semantic_rank, keyword_rank::INT AS keyword_rank, round(fused, 6) AS fused, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, chunk_id)::INT AS place FROM f",
     "intent_sections": f"WITH {_QA} SELECT query_id, array_to_string(list_filter([CASE WHEN rx THEN 'prescription' END, CASE WHEN rx THEN 'medications' END, CASE WHEN dx THEN 'diagnosis' END, CASE WHEN lx THEN 'labs' END], lambda x: x IS NOT NULL), ',') AS sections, candidate_window, rerank_window FROM qw",
     "candidate_flags": f"WITH {_FUSED}, {_FLAG} SELECT query_id, chunk_id, med AS medication, ins AS instruction, boi AS boilerplate, is_order FROM h",
     "boosts": _BOOST + " SELECT query_id, chunk_id, round(intent_boost, 6) AS intent_boost, round(affinity_boost, 6) AS affinity_boost, round(hybrid, 6) AS hybrid FROM hy",
@@ -184,7 +184,7 @@ SQL = {
 x AS (SELECT *, p2 <> '' AND contains(t, lower(p2)) AS h2, p1 <> '' AND contains(t, lower(p1)) AS h1 FROM p),
 d AS (SELECT *, CASE WHEN document_id IS NULL THEN 0 ELSE max((h1 OR h2)::INT) OVER (PARTITION BY query_id, document_id) END AS doc FROM x), e AS (SELECT *, max(doc) OVER (PARTITION BY query_id) AS anyone FROM d)
 SELECT query_id, chunk_id, CASE WHEN h2 THEN 1.1 WHEN h1 THEN 0.55 ELSE 0 END::DOUBLE AS name_boost, CASE WHEN anyone = 0 THEN 0 WHEN doc = 1 THEN 0.8 ELSE -0.3 END::DOUBLE AS co_boost FROM e""",
-    "rerank_overlap": _RERANK.replace("{where}", "") + " SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score, round(combined, 6) AS combined, ord FROM o",
-    "final_select": _FINAL + " SELECT query_id, chunk_id, pool, place FROM fi",
-    "prompt_block": _FINAL + " SELECT query_id, string_agg('[' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY place) AS context, count(*) AS chunks FROM fi GROUP BY query_id",
+    "rerank_overlap": _RERANK.replace("{where}", "") + " SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score, round(combined, 6) AS combined, ord::INT AS ord FROM o",
+    "final_select": _FINAL + " SELECT query_id, chunk_id, pool, place::INT AS place FROM fi",
+    "prompt_block": _FINAL + " SELECT query_id, string_agg('[' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY place) AS context, count(*)::INT AS chunks FROM fi GROUP BY query_id",
 }
