@@ -19,7 +19,8 @@ def _blocks(spark, sf_dir) -> DataFrame:
 
 def _rx_lines(spark, sf_dir) -> DataFrame:
     b = block_texts(read_table(spark, sf_dir, "document_payloads"), "type", "confidence")
-    return b.where("type = 'prescription_item' OR type = 'paragraph'").select(F.explode(F.split("text", "\n")).alias("line"), F.col("confidence")).groupBy("line").agg(F.max("confidence").alias("confidence"))
+    lines = b.where("type = 'prescription_item' OR type = 'paragraph'").select(F.explode(F.split("text", "\n")).alias("line"), F.col("confidence"))
+    return spread(lines.groupBy("line").agg(F.max("confidence").alias("confidence")), "line")
 
 
 def med_lines(spark, sf_dir):

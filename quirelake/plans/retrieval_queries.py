@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as PT
 
 from quirelake.operators import retrieval as R
+from quirelake.session import balanced
 from quirelake.sources import read_table
 
 
@@ -31,13 +32,13 @@ def _boosted(spark, sf_dir) -> DataFrame:
 
 
 def bm25_topk(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = balanced(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     out = R.bm25(docs, _fiftieth(_queries(spark, sf_dir)), "doc_id", "text")
     return out.select("query_id", F.col("id").alias("doc_id"), F.round("score", 5).alias("score"), "rank")
 
 
 def bm25_fts_profile(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = balanced(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     out = R.bm25(docs, _fiftieth(_queries(spark, sf_dir)), "doc_id", "text", k1=1.2)
     return out.select("query_id", F.col("id").alias("doc_id"), F.round("score", 5).alias("score"), "rank")
 

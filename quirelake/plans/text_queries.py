@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quirelake.functions import text as T
 from quirelake.functions.staging import late_filter
 from quirelake.operators.sequence import with_previous
+from quirelake.session import balanced
 from quirelake.sources import block_texts, read_table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return balanced(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
