@@ -17,6 +17,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quirelake.session import durable
+
 RANGE_ROWS = 50_000
 
 
@@ -38,20 +40,35 @@ def _weighted_median(ranks: list[Column], weights: list[float]) -> Column:
     return (at(False) + at(True)) / 2
 
 
-def _rank(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
-    """Adds the rank of a descending value within a group (1 is best; nulls last), exact for groups of any size."""
-    stats = df.groupBy(group).agg(F.count("*").alias("_n"), F.percentile_approx(value, [i / 64 for i in range(1, 64)], 2000).alias("_cut"))
-    # Groups within RANGE_ROWS are one range; larger ones use as many of the quantiles as they need, at most 64 ranges per pass.
-    cuts = F.when(F.col("_n") > RANGE_ROWS, F.array_distinct("_cut")).otherwise(F.array().cast("array<double>"))
-    j = df.join(stats.select(F.col(group).alias("_g"), cuts.alias("_cut")), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+def _rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Adds the rank of a descending value within a group (1 is best; nulls last), exact for groups of any size.
+
+    df is read three times; pass a durable frame.
+    """
+    stats = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(value, [i / 64 for i in range(1, 64)], 2000).alias("_cut"))
+    # Groups within RANGE_ROWS are one range; larger ones use as many of the quantiles as they need, at most 64 ranges.
+    step = F.greatest(F.lit(1), F.floor(F.lit(64) / F.ceil(F.col("_n") / RANGE_ROWS))).cast("int")
+    some = F.filter("_cut", lambda c, i: (i + 1) % step == 0)
+    cuts = F.when(F.col("_n") > RANGE_ROWS, F.array_distinct(some)).otherwise(F.array().cast("array<double>"))
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    gone = [f"_k{i}" for i in range(len(keys))]
+    j = df.join(stats.select(*own, cuts.alias("_cut")), same, "left").drop(*gone)
     # Range 0 holds the highest values; nulls are a range behind all.
     j = j.withColumn("_range", F.when(F.col(value).isNull(), 1000).otherwise(F.size(F.filter("_cut", lambda c: c >= F.col(value))))).drop("_cut")
-    sizes = j.groupBy(group, "_range").agg(F.count("*").alias("_size"))
-    before = sizes.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), (F.sum("_size").over(Window.partitionBy(group).orderBy("_range")) - F.col("_size")).alias("_before"))
-    within = F.when(F.col("_range") == 1000, 1).otherwise(F.rank().over(Window.partitionBy(group, "_range").orderBy(F.col(value).desc_nulls_last())))
-    j = j.withColumn("_within", within)
-    j = j.join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
-    return j.withColumn(out, (F.col("_within") + F.col("_before")).cast("bigint")).drop("_g", "_r", "_range", "_before", "_within")
+    sizes = j.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    before = sizes.select(*own, F.col("_range").alias("_r"), (F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_size")).alias("_before"))
+    within = F.when(F.col("_range") == 1000, 1).otherwise(F.rank().over(Window.partitionBy(*keys, "_range").orderBy(F.col(value).desc_nulls_last())))
+    j = j.withColumn("_within", within).join(before, same & (F.col("_range") == F.col("_r")))
+    return j.withColumn(out, (F.col("_within") + F.col("_before")).cast("bigint")).drop(*gone, "_r", "_range", "_before", "_within")
+
+
+def _rank_all(base: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
+    """The ranks of all scores at once: one row per item and score is ranked within (group, score), then put back in columns."""
+    long = durable(base).select(group, item, F.posexplode(F.array(*scores)).alias("_s", "_v"))
+    ranked = _rank(long, [group, "_s"], "_v", "_rank")
+    cols = [F.max(F.when(F.col("_s") == i, F.col("_rank"))).alias(f"{s}_rank") for i, s in enumerate(scores)]
+    return durable(ranked.groupBy(group, item).agg(*cols, F.bool_and(F.col("_v").isNull()).alias("_none")))
 
 
 def median_rank(df: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None) -> DataFrame:
@@ -68,15 +85,15 @@ def median_rank(df: DataFrame, group: str, item: str, scores: list[str], weights
         for s in scores:
             ranked = ranked.withColumn(f"{s}_rank", F.rank().over(Window.partitionBy(group).orderBy(F.col(s).desc_nulls_last())).cast("bigint"))
     else:
-        ranked = reduce(lambda acc, s: _rank(acc, group, s, f"{s}_rank"), scores, base)
+        ranked = _rank_all(base, group, item, scores)
     ranks = [F.col(f"{s}_rank") for s in scores]
     mean = reduce(lambda a, b: a + b, [r.cast("double") * w for r, w in zip(ranks, weights)]) / sum(weights)
-    empty = reduce(lambda a, b: a & b, [F.col(s).isNull() for s in scores])
-    ranked = ranked.withColumn("median_rank", _weighted_median(ranks, weights)).withColumn("mean_rank", F.round(mean, 9)).withColumn("_none", empty)
+    ranked = ranked.withColumn("median_rank", _weighted_median(ranks, weights)).withColumn("mean_rank", F.round(mean, 9))
     if largest <= RANGE_ROWS:
+        ranked = ranked.withColumn("_none", reduce(lambda a, b: a & b, [F.col(s).isNull() for s in scores]))
         ranked = ranked.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy("_none", "median_rank", "mean_rank", item)).cast("bigint"))
     else:  # one number that orders like (none, median, mean): ranges of it, then ties by item within the equal numbers
         order = -(F.col("_none").cast("double") * 1e15 + F.col("median_rank") * 1e3 + F.col("mean_rank") / 1e9)
-        ranked = _rank(ranked.withColumn("_order", order), group, "_order", "_tied")
+        ranked = _rank(durable(ranked.withColumn("_order", order)), [group], "_order", "_tied")
         ranked = ranked.withColumn("position", (F.col("_tied") + F.row_number().over(Window.partitionBy(group, "_tied").orderBy("_none", "median_rank", "mean_rank", item)) - 1).cast("bigint")).drop("_order", "_tied")
     return ranked.select(group, item, *[f"{s}_rank" for s in scores], "median_rank", "mean_rank", "position")
