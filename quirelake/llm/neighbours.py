@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quirelake.session import durable
 
-FIT_ROWS, PART_ROWS, MAX_PARTS = 24_576, 2048, 2048
+FIT_ROWS, MOST_FIT_ROWS, PART_ROWS, MAX_PARTS = 24_576, 98_304, 2048, 8192
 BLOCK_ROWS = 8192
 GRAPH_K = 8
 HELD_OUT, LEAST_PROBES = 8_192, 3
@@ -98,12 +98,27 @@ class Router:
     weights: np.ndarray
     bias: np.ndarray
 
-    def top(self, x: np.ndarray, m: int) -> np.ndarray:
+    def top(self, x: np.ndarray, m: int, block: int = 1024) -> np.ndarray:
         """The m most probable parts of each row, best first."""
-        z = x @ self.weights + self.bias
-        m = min(m, z.shape[1])
-        at = np.argpartition(-z, m - 1, axis=1)[:, :m] if m < z.shape[1] else np.tile(np.arange(m), (len(z), 1))
-        return np.take_along_axis(at, np.argsort(-np.take_along_axis(z, at, axis=1), axis=1), axis=1)
+        p = self.weights.shape[1]
+        m = min(m, p)
+        out = np.empty((len(x), m), np.int64)
+        for lo in range(0, len(x), block):  # a block of rows against all parts is all that is held at once
+            z = x[lo : lo + block] @ self.weights + self.bias
+            at = np.argpartition(-z, m - 1, axis=1)[:, :m] if m < p else np.tile(np.arange(m), (len(z), 1))
+            out[lo : lo + len(z)] = np.take_along_axis(at, np.argsort(-np.take_along_axis(z, at, axis=1), axis=1), axis=1)
+        return out
+
+
+    def places(self, x: np.ndarray, parts: np.ndarray, block: int = 256) -> np.ndarray:
+        """For each row and each of its given parts, how many parts are more probable."""
+        out = np.empty(parts.shape, np.int64)
+        for lo in range(0, len(x), block):
+            z = x[lo : lo + block] @ self.weights + self.bias
+            own = np.take_along_axis(z, parts[lo : lo + block], axis=1)
+            for k in range(parts.shape[1]):
+                out[lo : lo + len(z), k] = (z > own[:, k : k + 1]).sum(axis=1)
+        return out
 
 
 def learn(x: np.ndarray, parts: int, seed: int = 11, epochs: int = 12) -> Router:
@@ -164,19 +179,14 @@ def probes_for(router: Router, x: np.ndarray, recall: float, k: int = 5, floor:
     q = x[:queries]
     at, sim = knn_brute(q, x, k + 1)
     home = router.top(x, 1)[:, 0]
-    parts = router.weights.shape[1]
-    order = router.top(q, parts)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(parts)[None, :].repeat(len(q), 0), axis=1)
     own = at == np.arange(len(q))[:, None]
     ok = ~own & (sim >= floor)
     if not ok.any():
         return LEAST_PROBES
-    need = np.take_along_axis(place, home[at], axis=1)
+    need = router.places(q, home[at])
     if floor > 0:  # a pair is found from either side
-        flat = at.ravel()
-        back = router.top(x[flat], parts)
-        need = np.minimum(need, np.argmax(back == np.repeat(home[: len(q)], at.shape[1])[:, None], axis=1).reshape(at.shape))
+        back = router.places(x[at.ravel()], np.repeat(home[: len(q)], at.shape[1])[:, None])
+        need = np.minimum(need, back.reshape(at.shape))
     need = np.sort(need[ok])
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)]) + 1
 
@@ -233,6 +243,7 @@ def search(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
     reps = base.groupBy("vec").agg(F.min("id").alias("id"))
     # The fit sample: bounded, in order of a hash of the id; and the number of vectors, to set the number of parts.
     n = df.where(F.size(vec_col) == dim).count()
+    fit_rows = max(fit_rows, min(MOST_FIT_ROWS, 12 * round(n / PART_ROWS)))  # twelve rows a part, within the bound
     share = min(1.0, 1.3 * (fit_rows + HELD_OUT) / max(n, 1))
     picked = df.where((F.size(vec_col) == dim) & F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), 1_000_000) < int(share * 1_000_000)))
     rows = clean(picked, id_col, vec_col, dim).limit(2 * (fit_rows + HELD_OUT)).toArrow()
