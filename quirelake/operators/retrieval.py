@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -56,38 +57,43 @@ def candidate_windows(queries: DataFrame, base: int = 20, prescription: int = 30
     return queries.withColumn("candidate_window", window).withColumn("rerank_window", F.greatest(F.coalesce("top_k", F.lit(5)), F.when(asks, most).otherwise(0)))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, dl); texts without terms give no row."""
-    terms = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), T.search_terms(F.col(text_col)).alias("t")).where(F.size("t") > 0)
-    return terms.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def postings(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """(id, term, tf, dl, keep ...); texts without terms give no row."""
+    terms = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), T.search_terms(F.col(text_col)).alias("t"), *keep).where(F.size("t") > 0)
+    return terms.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"), *keep).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), *[F.first(c).alias(c) for c in keep])
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int = 10, k1: float = 1.5, b: float = 0.75, scope: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k best texts of every query.
 
+    scope: a column of both sides; a query with a value there sees only texts of that value, before the cut.
     A term that a query repeats counts as often. The statistics are of all texts with a term. The postings meet the
     query terms in a join on the term: a term of a third of all texts is split by the adaptive skew join, and the score
     is pre-aggregated per (query, text) before the second shuffle.
     """
-    post = postings(docs, id_col, text_col)
+    post = postings(docs, id_col, text_col, *[scope] if scope else [])
     # Two numbers of the corpus; one small job.
     n_docs, avgdl = docs.where(F.col(text_col).isNotNull()).select(F.size(T.search_terms(F.col(text_col))).alias("n")).where("n > 0").agg(F.count("*"), F.avg("n")).head()
     avgdl = avgdl or 1.0
-    asked = queries.where("query_text IS NOT NULL").select("query_id", F.explode(T.search_terms(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    own = [F.col(scope).alias("_scope")] if scope else []
+    asked = queries.where("query_text IS NOT NULL").select("query_id", *own, F.explode(T.search_terms(F.col("query_text"))).alias("term")).groupBy("query_id", "term", *["_scope"] if scope else []).agg(F.count("*").alias("qtf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighted = asked.join(idf, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scored = post.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    met = post.join(weighted, "term")
+    if scope:
+        met = met.where(F.col("_scope").isNull() | (F.col("_scope") == F.col(scope)))
+    scored = met.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_block: int = 4096, vector_block: int = 65536) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_block: int = 4096, vector_block: int = 65536, open_scope: bool = False) -> DataFrame:
     """(query_id, id, cosine, rank), exact: blocks of queries against blocks of vectors, best k of each block merged.
 
     queries: (query_id, vec [, scope]); vectors: (id, vec [, scope]). With a scope only vectors of the query's scope
-    count (applied before the cut). Memory of a task is bounded by the two block sizes. Zero and null vectors take no part.
+    count (applied before the cut); with open_scope a query of null scope sees all vectors. Memory of a task is bounded by the two block sizes. Zero and null vectors take no part.
     """
     scoped = "scope" in queries.columns
     nq, nv = queries.count(), vectors.count()
@@ -113,7 +119,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_block
         for lo in range(0, len(qi), 256):
             s = m[qi[lo : lo + 256]] @ m[vi].T
             for row, i in zip(s, qi[lo : lo + 256]):
-                on = np.flatnonzero(scopes[vi] == scopes[i]) if scoped else np.arange(len(vi))
+                on = np.flatnonzero(scopes[vi] == scopes[i]) if scoped and not (open_scope and pd.isna(scopes[i])) else np.arange(len(vi))
                 r = np.round(row[on], 9)
                 top = on[np.argsort(-r, kind="stable")[: k]] if len(on) <= 4 * k else on[_top(r, k)]
                 out_q += [ids[i]] * len(top)

@@ -32,17 +32,19 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 20, vectors: DataFr
     """Final chunks of every question: keyword and, where vectors are given, vector search, fused, boosted, reranked, selected.
 
     queries: (query_id, query_text, role, document_id, candidate_k, top_k); chunks: (chunk_id, document_id, section,
-    entity_focus, text). A question with a document id sees only that document's chunks, before the cut.
+    entity_focus, text); vectors: (id, vec) with id a chunk_id; query_vectors: (query_id, vec). A question with a document id sees only that document's chunks, before the cut.
     """
-    texts = chunks.select("chunk_id", "text")
-    found = R.bm25(texts, queries, "chunk_id", "text", k=k).select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("keyword_score"))
+    texts = chunks.select("chunk_id", "text", "document_id")
+    found = R.bm25(texts, queries, "chunk_id", "text", k=k, scope="document_id").select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("keyword_score"))
     if vectors is not None and query_vectors is not None:
-        near = R.vector_topk(query_vectors, vectors, k=k).select("query_id", F.col("id").alias("chunk_id"), F.col("cosine").alias("semantic_score"))
+        asks = query_vectors.select("query_id", "vec").join(queries.select("query_id", F.col("document_id").alias("scope")), "query_id")
+        known = vectors.select("id", "vec").join(chunks.select(F.col("chunk_id").alias("id"), F.col("document_id").alias("scope")), "id")
+        near = R.vector_topk(asks, known, k=k, open_scope=True).select("query_id", F.col("id").alias("chunk_id"), F.col("cosine").alias("semantic_score"))
         found = found.join(near, ["query_id", "chunk_id"], "full_outer")
     else:
         found = found.withColumn("semantic_score", F.lit(None).cast("double"))
-    scope = queries.select("query_id", "query_text", "role", F.col("document_id").alias("scope"), "candidate_k", "top_k")
-    cands = found.join(chunks, "chunk_id").join(scope, "query_id").where("scope IS NULL OR scope = document_id")
+    asked_of = queries.select("query_id", "query_text", "role", F.col("document_id").alias("scope"), "candidate_k", "top_k")
+    cands = found.join(chunks, "chunk_id").join(asked_of, "query_id")
     fused = R.reciprocal_rank(cands)
     asked = R.asked_sections(F.col("query_text"))
     boosted = fused.withColumn("hybrid", F.col("fused") + R.intent_boost(F.col("section"), F.col("entity_focus"), F.coalesce("text", F.lit("")), asked) + R.affinity_boost(F.col("query_text"), F.col("document_id")))

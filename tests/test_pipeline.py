@@ -71,6 +71,31 @@ def test_ask(spark):
     assert log == {"q1": "ok", "q2": "ok", "q3": "no_answer"}
 
 
+QUERY = "query_id string, query_text string, role string, document_id string, candidate_k int, top_k int"
+CHUNK = "chunk_id string, document_id string, section string, entity_focus string, text string"
+
+
+def _vectors(spark, n):
+    """Chunks b:0 to b:2 are further from the question than the chunks a:..."""
+    chunks = [(f"a:{i:04d}", "a", "x", None, "fever fever fever") for i in range(n)] + [(f"b:{i:04d}", "b", "x", None, "fever and many other words besides") for i in range(3)]
+    vectors = [(c[0], [1.0, 0.001 * i] if c[1] == "a" else [0.1, 1.0]) for i, c in enumerate(chunks)]
+    return spark.createDataFrame(chunks, CHUNK), spark.createDataFrame(vectors, "id string, vec array<double>")
+
+
+def test_scope_before_the_cut(spark):
+    chunks, vectors = _vectors(spark, 40)
+    q = spark.createDataFrame([("b", "fever", "doctor", "b", 20, 5), ("all", "fever", "doctor", None, 20, 5), ("far", "zzzz", "doctor", "b", 20, 5)], QUERY)
+    asks = spark.createDataFrame([(x, [1.0, 0.0]) for x in ("b", "all", "far")], "query_id string, vec array<double>")
+
+    def ids(final, x):
+        return {r["chunk_id"] for r in final.collect() if r["query_id"] == x}
+
+    words = pipeline.retrieve(q, chunks).cache()
+    assert ids(words, "b") == {"b:0000", "b:0001", "b:0002"} and len(ids(words, "all")) == 5
+    near = pipeline.retrieve(q, chunks, vectors=vectors, query_vectors=asks).cache()
+    assert ids(near, "b") == ids(near, "far") == {"b:0000", "b:0001", "b:0002"} and all(x[0] == "a" for x in ids(near, "all"))
+
+
 def test_semantic_groups(spark):
     df = spark.createDataFrame([("d", 0, [1.0, 0.0]), ("d", 1, [0.9, 0.43]), ("d", 2, [0.0, 1.0]), ("d", 3, None)], "doc_id string, n int, vec array<double>")
     assert [r["group_no"] for r in pipeline.semantic_groups(df).orderBy("n").collect()] == [0, 0, 1, 2]
