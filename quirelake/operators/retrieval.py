@@ -63,8 +63,8 @@ def postings(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFra
     return terms.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"), *keep).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), *[F.first(c).alias(c) for c in keep])
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int = 10, k1: float = 1.5, b: float = 0.75, scope: str | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the k best texts of every query.
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int | str = 10, k1: float = 1.5, b: float = 0.75, scope: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k best texts of every query; k is a number or a column of the queries.
 
     scope: a column of both sides; a query with a value there sees only texts of that value, before the cut.
     A term that a query repeats counts as often. The statistics are of all texts with a term. The postings meet the
@@ -86,16 +86,32 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int
         met = met.where(F.col("_scope").isNull() | (F.col("_scope") == F.col(scope)))
     scored = met.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return _within(scored.withColumn("rank", F.row_number().over(best)), queries, k, _most(queries, k))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_block: int = 4096, vector_block: int = 65536, open_scope: bool = False) -> DataFrame:
+def _most(queries: DataFrame, k: int | str) -> int:
+    """The largest k; of a column one small job."""
+    return queries.agg(F.max(k)).head()[0] or 0 if isinstance(k, str) else k
+
+
+def _within(ranked: DataFrame, queries: DataFrame, k: int | str, most: int) -> DataFrame:
+    """The rows up to rank k, a number or a column of the queries; first up to the largest k, so that the sort is limited."""
+    best = ranked.where(F.col("rank") <= most)
+    if not isinstance(k, str):
+        return best
+    own = queries.groupBy("query_id").agg(F.max(k).alias("_k"))
+    return best.join(own, "query_id").where(F.col("rank") <= F.col("_k")).drop("_k")
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int | str = 10, query_block: int = 4096, vector_block: int = 65536, open_scope: bool = False) -> DataFrame:
     """(query_id, id, cosine, rank), exact: blocks of queries against blocks of vectors, best k of each block merged.
 
+    k is a number or a column of the queries.
     queries: (query_id, vec [, scope]); vectors: (id, vec [, scope]). With a scope only vectors of the query's scope
     count (applied before the cut); with open_scope a query of null scope sees all vectors. Memory of a task is bounded by the two block sizes. Zero and null vectors take no part.
     """
     scoped = "scope" in queries.columns
+    most = _most(queries, k)  # for each block; a query's own k is applied to the merged ranks
     nq, nv = queries.count(), vectors.count()
     bq, bv = max(1, -(-nq // query_block)), max(1, -(-nv // vector_block))
     scope = ["scope"] if scoped else []
@@ -121,7 +137,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_block
             for row, i in zip(s, qi[lo : lo + 256]):
                 on = np.flatnonzero(scopes[vi] == scopes[i]) if scoped and not (open_scope and pd.isna(scopes[i])) else np.arange(len(vi))
                 r = np.round(row[on], 9)
-                top = on[np.argsort(-r, kind="stable")[: k]] if len(on) <= 4 * k else on[_top(r, k)]
+                top = on[np.argsort(-r, kind="stable")[:most]] if len(on) <= 4 * most else on[_top(r, most)]
                 out_q += [ids[i]] * len(top)
                 out_v += ids[vi[top]].tolist()
                 out_s += row[top].tolist()
@@ -131,7 +147,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_block
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
     met = met.select(F.col("query_id").cast(kinds[0]).alias("query_id"), F.col("id").cast(kinds[1]).alias("id"), "cosine")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), F.col("id").cast("string"))
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _within(met.withColumn("rank", F.row_number().over(order)), queries, k, most)
 
 
 def _top(scores: np.ndarray, k: int) -> np.ndarray:

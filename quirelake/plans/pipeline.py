@@ -33,22 +33,24 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 20, vectors: DataFr
 
     queries: (query_id, query_text, role, document_id, candidate_k, top_k); chunks: (chunk_id, document_id, section,
     entity_focus, text); vectors: (id, vec) with id a chunk_id; query_vectors: (query_id, vec). A question with a document id sees only that document's chunks, before the cut.
+    Each side keeps the candidate window of its question: candidate_k, else k, and 30 at least where it asks for a prescription.
     """
+    queries = R.candidate_windows(queries, base=k)
     texts = chunks.select("chunk_id", "text", "document_id")
-    found = R.bm25(texts, queries, "chunk_id", "text", k=k, scope="document_id").select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("keyword_score"))
+    found = R.bm25(texts, queries, "chunk_id", "text", k="candidate_window", scope="document_id").select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("keyword_score"))
     if vectors is not None and query_vectors is not None:
-        asks = query_vectors.select("query_id", "vec").join(queries.select("query_id", F.col("document_id").alias("scope")), "query_id")
+        asks = query_vectors.select("query_id", "vec").join(queries.select("query_id", F.col("document_id").alias("scope"), "candidate_window"), "query_id")
         known = vectors.select("id", "vec").join(chunks.select(F.col("chunk_id").alias("id"), F.col("document_id").alias("scope")), "id")
-        near = R.vector_topk(asks, known, k=k, open_scope=True).select("query_id", F.col("id").alias("chunk_id"), F.col("cosine").alias("semantic_score"))
+        near = R.vector_topk(asks, known, k="candidate_window", open_scope=True).select("query_id", F.col("id").alias("chunk_id"), F.col("cosine").alias("semantic_score"))
         found = found.join(near, ["query_id", "chunk_id"], "full_outer")
     else:
         found = found.withColumn("semantic_score", F.lit(None).cast("double"))
-    asked_of = queries.select("query_id", "query_text", "role", F.col("document_id").alias("scope"), "candidate_k", "top_k")
+    asked_of = queries.select("query_id", "query_text", "role", F.col("document_id").alias("scope"), "candidate_k", "top_k", "candidate_window", "rerank_window")
     cands = found.join(chunks, "chunk_id").join(asked_of, "query_id")
     fused = R.reciprocal_rank(cands)
     asked = R.asked_sections(F.col("query_text"))
     boosted = fused.withColumn("hybrid", F.col("fused") + R.intent_boost(F.col("section"), F.col("entity_focus"), F.coalesce("text", F.lit("")), asked) + R.affinity_boost(F.col("query_text"), F.col("document_id")))
-    prepared = R.candidate_windows(boosted).where("trim(text) <> ''")
+    prepared = boosted.where("trim(text) <> ''")
     return R.select_final(R.anchors(R.rerank(prepared, "rerank_window", scorer=scorer), prepared), "top_k")
 
 

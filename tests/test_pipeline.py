@@ -96,6 +96,18 @@ def test_scope_before_the_cut(spark):
     assert ids(near, "b") == ids(near, "far") == {"b:0000", "b:0001", "b:0002"} and all(x[0] == "a" for x in ids(near, "all"))
 
 
+def test_each_side_keeps_the_candidate_window(spark):
+    chunks, vectors = _vectors(spark, 40)
+    q = spark.createDataFrame([("less", "fever", "doctor", None, 10, 50), ("default", "fever", "doctor", None, None, 50), ("asks", "which dose for fever", "doctor", None, 20, 50), ("more", "fever", "doctor", None, 33, 50)], QUERY)
+    window = {"less": 10, "default": 20, "asks": 30, "more": 33}
+    words = {r["query_id"]: r["count"] for r in pipeline.retrieve(q, chunks).groupBy("query_id").count().collect()}
+    assert words == window
+    asks = spark.createDataFrame([(x, [-1.0, 1.0]) for x in window], "query_id string, vec array<double>")  # the words find other chunks first
+    both = pipeline.retrieve(q, chunks, vectors=vectors, query_vectors=asks)
+    near = {r["query_id"]: r["count"] for r in both.where("semantic_score IS NOT NULL").groupBy("query_id").count().collect()}
+    assert near == window
+
+
 def test_semantic_groups(spark):
     df = spark.createDataFrame([("d", 0, [1.0, 0.0]), ("d", 1, [0.9, 0.43]), ("d", 2, [0.0, 1.0]), ("d", 3, None)], "doc_id string, n int, vec array<double>")
     assert [r["group_no"] for r in pipeline.semantic_groups(df).orderBy("n").collect()] == [0, 0, 1, 2]
