@@ -111,13 +111,16 @@ def masked_document(document_id: Column, key: bytes | None = None) -> Column:
     return F.concat(F.lit("doc_"), F.substring(identity(document_id, key), 1, 12))
 
 
-def context(cands: DataFrame, role: str = "role") -> DataFrame:
-    """Ids and texts as the role may see them: masked document, the chunk's number alone and the masked text unless authorised."""
+def context(cands: DataFrame, role: str = "role", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Ids and texts as the role may see them: masked document, the chunk's number alone and the masked text unless authorised.
+
+    keep: columns that are carried along; several chunks of a query may have one masked number.
+    """
     ok = authorised(F.col(role))
     spans = pick_spans(find_spans(F.col("text")))
     return cands.select(
         "query_id", F.when(ok, F.col("chunk_id")).otherwise(F.substring_index("chunk_id", ":", -1)).alias("chunk_ref"), F.when(ok, F.col("document_id")).otherwise(masked_document(F.col("document_id"))).alias("document_ref"),
-        ok.alias("authorized"), F.when(ok, F.col("text")).otherwise(generalise(redact(F.col("text"), spans))).alias("content"),
+        ok.alias("authorized"), F.when(ok, F.col("text")).otherwise(generalise(redact(F.col("text"), spans))).alias("content"), *keep,
     )
 
 

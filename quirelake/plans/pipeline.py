@@ -66,10 +66,8 @@ def instruction(question: Column, authorised: Column) -> Column:
 
 def prompts(final: DataFrame) -> DataFrame:
     """(query_id, prompt, sources): instruction, passages '[id]' and text in order, and the question; masked for roles without the right."""
-    ctx = privacy.context(final).withColumnRenamed("chunk_ref", "ref")
-    placed = final.select("query_id", "chunk_id", "place", "query_text", "role").withColumn("ref", F.when(privacy.authorised(F.col("role")), F.col("chunk_id")).otherwise(F.substring_index("chunk_id", ":", -1)))
-    j = placed.join(ctx.select("query_id", "ref", "content"), ["query_id", "ref"]).dropDuplicates(["query_id", "place"])
-    g = j.groupBy("query_id").agg(F.max("query_text").alias("q"), F.max("role").alias("role"), F.array_sort(F.collect_list(F.struct("place", "ref", "content"))).alias("c"))
+    ctx = privacy.context(final, keep=("place", "query_text", "role")).withColumnRenamed("chunk_ref", "ref")
+    g = ctx.groupBy("query_id").agg(F.max("query_text").alias("q"), F.max("role").alias("role"), F.array_sort(F.collect_list(F.struct("place", "ref", "content"))).alias("c"))
     block = F.array_join(F.transform("c", lambda x: F.concat(F.lit("["), x["ref"], F.lit("]\n"), x["content"])), "\n\n")
     prompt = F.concat_ws("\n\n", instruction(F.col("q"), privacy.authorised(F.col("role"))), block, F.concat(F.lit("Question: "), "q"))
     return g.select("query_id", prompt.alias("prompt"), F.transform("c", lambda x: x["ref"]).alias("sources"), F.get("c", F.lit(0))["content"].alias("first"))

@@ -108,6 +108,15 @@ def test_each_side_keeps_the_candidate_window(spark):
     assert near == window
 
 
+def test_chunks_of_one_number_stay_apart(spark):
+    rows = [("q", "a:0003", "a", "first", 1), ("q", "b:0003", "b", "second", 2), ("q", "c:0004", "c", "third", 3)]
+    for role, refs in (("nurse", ["0003", "0003", "0004"]), ("doctor", ["a:0003", "b:0003", "c:0004"])):
+        final = spark.createDataFrame([(*r, "what", role) for r in rows], "query_id string, chunk_id string, document_id string, text string, place int, query_text string, role string")
+        p = pipeline.prompts(final).head()
+        assert p["sources"] == refs and [p["prompt"].count(f"]\n{t}") for t in ("first", "second", "third")] == [1, 1, 1] and p["first"] == "first"
+        assert p["prompt"].index("first") < p["prompt"].index("second") < p["prompt"].index("third")
+
+
 def test_semantic_groups(spark):
     df = spark.createDataFrame([("d", 0, [1.0, 0.0]), ("d", 1, [0.9, 0.43]), ("d", 2, [0.0, 1.0]), ("d", 3, None)], "doc_id string, n int, vec array<double>")
     assert [r["group_no"] for r in pipeline.semantic_groups(df).orderBy("n").collect()] == [0, 0, 1, 2]
