@@ -1,13 +1,13 @@
 """Text of scanned pages back to continuous paragraphs: broken and misread words, running heads and page numbers.
 
-Words are counted over the whole corpus. Skip-gram vectors (negative sampling, numpy) are learned from a bounded sample
-of texts. A word that is rare against a frequent word from which it differs by plausible glyph edits only (rn for m, cl
+Words and pairs of words near each other are counted over the whole corpus, on the cluster. Vectors are learned from the
+pair counts: the factors of their pointwise mutual information, which skip-gram with negative sampling approximates. A word that is rare against a frequent word from which it differs by plausible glyph edits only (rn for m, cl
 for d, 1 for l, ...) is linked to it; among several such words the one that fits the neighbours' vectors best is taken.
 Then the furniture at the edges of a text is removed (running heads and feet, page numbers), broken words are joined and
 lines reflow into paragraphs.
 
-Parameters and bounds: the VOCABULARY most frequent words with their counts are sent to the executors; SAMPLE texts are
-used to learn vectors; a correction needs RATIO times the count of what stands there. All texts are repaired whole.
+Parameters and bounds: the VOCABULARY most frequent words with their counts are sent to the executors; a vector
+has DIM numbers, found in ROUNDS passes over the pairs, of which the driver holds none; a correction needs RATIO times the count of what stands there. All texts are repaired whole.
 
 Defined cases: null texts give no row; empty and blank texts stay empty; a word broken at a hyphen that the corpus spells
 inside lines with that hyphen keeps it; a hyphen at the very end of a text is kept; a lone number within a text is
@@ -24,10 +24,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quirelake.session import spread
+from quirelake.session import durable, spread
 
-VOCABULARY, SAMPLE, RATIO, MIN_COUNT = 60_000, 6_000, 8, 4
-DIM, WINDOW, NEGATIVES, EPOCHS = 24, 2, 4, 2
+VOCABULARY, RATIO, MIN_COUNT = 60_000, 8, 4
+DIM, SPARE, WINDOW, ROUNDS = 24, 8, 2, 3
 
 # What a recogniser writes, and what may have stood there.
 GLYPHS = (
@@ -76,39 +76,100 @@ def count_words(texts: DataFrame) -> dict[str, int]:
     return {r["w"]: r["n"] for r in top.collect()}
 
 
-def skip_gram(texts: list[str], counts: dict[str, int], seed: int = 7) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Word numbers, word vectors and context vectors by skip-gram with negative sampling over the texts."""
-    vocab = {w: i for i, w in enumerate(w for w in counts if w.isalpha())}
-    n = len(vocab)
-    rng = np.random.default_rng(seed)
-    vec, ctx = (rng.random((n, DIM)) - 0.5) / DIM, np.zeros((n, DIM))
-    left, right = [], []
+def _numbers(counts: dict[str, int]) -> dict[str, int]:
+    return {w: i for i, w in enumerate(w for w in counts if w.isalpha())}
+
+
+def _pairs(texts, vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n): how often words stand within WINDOW of each other, in both directions."""
+    keys = [np.empty(0, np.int64)]
     for t in texts:
         ids = np.array([vocab.get(w.lower(), -1) for w in _WORD.findall(t)], np.int64)
         for d in range(1, WINDOW + 1):
             a, b = ids[:-d], ids[d:]
             ok = (a >= 0) & (b >= 0)
-            left += [a[ok], b[ok]]
-            right += [b[ok], a[ok]]
-    if not n or not left:
-        return vocab, vec, ctx
-    a, b = np.concatenate(left), np.concatenate(right)
-    freq = np.array([counts[w] for w in vocab], float)
-    keep = rng.random(len(a)) < np.minimum(1, np.sqrt(1e-3 * freq.sum() / freq[a]))
-    a, b = a[keep], b[keep]
-    noise = np.cumsum(freq**0.75)
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(a))
-        for lo in range(0, len(order), 4096):
-            at = order[lo : lo + 4096]
-            x, y = a[at], np.concatenate([b[at][:, None], np.searchsorted(noise, rng.random((len(at), NEGATIVES)) * noise[-1])], axis=1)
-            label = np.zeros(y.shape)
-            label[:, 0] = 1
-            v, c = vec[x], ctx[np.minimum(y, n - 1)]
-            g = (label - 1 / (1 + np.exp(-np.clip(np.einsum("id,ikd->ik", v, c), -10, 10)))) * 0.05 * (1 - epoch / EPOCHS)
-            np.add.at(vec, x, np.einsum("ik,ikd->id", g, c))
-            np.add.at(ctx, np.minimum(y, n - 1).ravel(), (g[:, :, None] * v[:, None, :]).reshape(-1, DIM))
-    return vocab, vec.astype(np.float32), ctx.astype(np.float32)
+            keys += [a[ok] * len(vocab) + b[ok], b[ok] * len(vocab) + a[ok]]
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    return *(np.divmod(key, len(vocab)) if len(vocab) else (key, key)), n
+
+
+def _times(a: np.ndarray, b: np.ndarray, n: np.ndarray, total: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of (positive pointwise mutual information) @ q: the words that have one, and their rows."""
+    w = np.maximum(np.log(n * (total.sum() / total[a] / total[b])), 0)
+    rows, at = np.unique(a, return_inverse=True)
+    out = np.zeros((len(rows), q.shape[1]))
+    for lo in range(0, len(a), 65_536):
+        np.add.at(out, at[lo : lo + 65_536], w[lo : lo + 65_536, None] * q[b[lo : lo + 65_536]])
+    return rows, out
+
+
+def _factors(times, n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Word and context vectors, the leading factors of a symmetric matrix that is known by its products; zero for an empty row."""
+    if not n:
+        return np.zeros((0, DIM), np.float32), np.zeros((0, DIM), np.float32)
+    q = np.random.default_rng(seed).normal(size=(n, min(n, DIM + SPARE)))
+    for _ in range(ROUNDS):
+        q = np.linalg.qr(times(q))[0]
+    m = times(q)
+    empty = ~m.any(axis=1)
+    t = q.T @ m
+    value, u = np.linalg.eigh((t + t.T) / 2)
+    top = np.argsort(-np.abs(value), kind="stable")[:DIM]
+    vec = q @ u[:, top] * np.sqrt(np.abs(value[top]))
+    vec[empty] = 0
+    return vec.astype(np.float32), (vec * np.sign(value[top])).astype(np.float32)
+
+
+def skip_gram(texts: list[str], counts: dict[str, int]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Word numbers, word vectors and context vectors from the pair counts of a list of texts."""
+    vocab = _numbers(counts)
+    a, b, n = _pairs(texts, vocab)
+    total = np.bincount(a, n, len(vocab))
+
+    def times(q):
+        out = np.zeros((len(vocab), q.shape[1]))
+        rows, part = _times(a, b, n, total, q)
+        out[rows] = part
+        return out
+
+    return vocab, *_factors(times, len(vocab))
+
+
+def skip_gram_of(texts: DataFrame, counts: dict[str, int]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """The same over all texts of a table: pairs are counted and multiplied on the cluster, a partition holding whole rows."""
+    vocab = _numbers(counts)
+    if not vocab:
+        return vocab, *_factors(None, 0)
+    sc = texts.sparkSession.sparkContext
+    shared = sc.broadcast(vocab)  # at most VOCABULARY words
+
+    def count(batches):
+        for pdf in batches:
+            a, b, n = _pairs(pdf["text"], shared.value)
+            yield pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), "n": n})
+
+    near = spread(texts.select("text").mapInPandas(count, "a int, b int, n bigint"), "a")
+    pairs = durable(near.groupBy("a", "b").agg(F.sum("n").alias("n")))
+    total = np.zeros(len(vocab))
+    for r in pairs.groupBy("a").agg(F.sum("n").alias("n")).collect():
+        total[r["a"]] = r["n"]
+
+    def times(q):
+        given = sc.broadcast((total, q))
+
+        def run(batches):
+            for pdf in batches:
+                rows, part = _times(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["n"].to_numpy(), *given.value)
+                yield pd.DataFrame({"a": rows, "v": [x.tolist() for x in part]})
+
+        out = np.zeros(q.shape)
+        part = pairs.mapInPandas(run, "a int, v array<double>").groupBy("a").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(q.shape[1])])
+        got = part.toPandas()  # at most VOCABULARY rows
+        out[got["a"].to_numpy()] = got.drop(columns="a").to_numpy()
+        given.destroy()
+        return out
+
+    return vocab, *_factors(times, len(vocab))
 
 
 class Repairer:
@@ -116,7 +177,8 @@ class Repairer:
 
     def __init__(self, counts: dict[str, int], model: tuple):
         self.counts = counts
-        self.index, self.vec, self.ctx = model
+        index, self.vec, self.ctx = model
+        self.index = {w: i for w, i in index.items() if self.vec[i].any()}  # words with a learned vector
         self.memo: dict[str, list] = {}
         self.most = max(counts.values(), default=0)
 
@@ -165,14 +227,9 @@ class Repairer:
             return None
         if len(found) > 1:
             ctx = [self.index[a.lower()] for a in around if a.lower() in self.index]
-            mean = self.ctx[ctx].mean(axis=0) if ctx else None
-
-            def fit(c):
-                i = self.index.get(c[0])
-                near = float(self.vec[i] @ mean) if mean is not None and i is not None else 0.0
-                return (near, self.counts[c[0]])
-
-            found = sorted(found, key=fit, reverse=True)
+            known = ctx and all(c[0] in self.index for c in found)  # else the count decides
+            mean = self.ctx[ctx].mean(axis=0) if known else None
+            found = sorted(found, key=lambda c: (float(self.vec[self.index[c[0]]] @ mean) if known else 0.0, self.counts[c[0]]), reverse=True)
         meant, places, _ = found[0]
         return meant, places
 
@@ -343,11 +400,10 @@ class Repairer:
 
 
 def fit(texts: DataFrame) -> Repairer:
-    """Counts over all texts (field, item_id, text) and vectors from SAMPLE of them in order of a hash of the item."""
+    """Counts and vectors over all texts (field, item_id, text)."""
     texts = texts.where("text IS NOT NULL")
     counts = count_words(texts)
-    sample = [r["text"] for r in texts.where("length(text) < 20000").orderBy(F.xxhash64("field", "item_id")).limit(SAMPLE).select("text").collect()]
-    return Repairer(counts, skip_gram(sample, counts))
+    return Repairer(counts, skip_gram_of(texts, counts))
 
 
 def once(items: DataFrame) -> DataFrame:

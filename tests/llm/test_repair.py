@@ -49,3 +49,18 @@ def test_table(spark):
     got = sorted((x["item_id"], x["line_no"], x["noise"]) for x in R.noisy_lines(df, r).collect())
     assert got == [("b", 0, "misread"), ("b", 1, "page_no")]
     assert R.repair(df, r).count() == 43 and R.noisy_lines(df.limit(0), R.fit(df.limit(0))).count() == 0
+
+
+def test_vectors_of_all_texts(spark):
+    """Long texts and many texts count; words without a neighbour have no vector, and there the count decides."""
+    long = "zebra quagga " * 2_000
+    rows = [("f", "long", long)] + [("f", f"i{k}", CLEAN) for k in range(40)] + [("f", f"s{k}", "solitary") for k in range(10)]
+    df = spark.createDataFrame(rows, "field string, item_id string, text string")
+    r = R.fit(df)
+    assert {"zebra", "quagga", "patient"} <= set(r.index) and "solitary" not in r.index
+    own = R.skip_gram([x[2] for x in rows], r.counts)
+    assert abs(own[1] @ own[2].T - r.vec @ r.ctx.T).max() < 1e-3
+    for around in ([], ["the"]):
+        q = R.Repairer({"sandy": 90, "candy": 400, "the": 900}, ({"sandy": 0, "the": 1}, R.np.ones((2, R.DIM)), R.np.ones((2, R.DIM))))
+        q.memo["5andy"] = [("sandy", [0], 1), ("candy", [0], 1)]
+        assert q.correct("5andy", around)[0] == "candy"
