@@ -2,7 +2,9 @@
 
 Words and pairs of words near each other are counted over the whole corpus, on the cluster. Vectors are learned from the
 pair counts: the factors of their pointwise mutual information, which skip-gram with negative sampling approximates. A word that is rare against a frequent word from which it differs by plausible glyph edits only (rn for m, cl
-for d, 1 for l, ...) is linked to it; among several such words the one that fits the neighbours' vectors best is taken.
+for d, 1 for l, ...) is linked to it where the vectors support it: the two words' vectors are near (LINK), or the frequent word fits the words
+around better than the word as written. Among several such words the one that fits best is taken. Where no vector was
+learned (for the frequent word or all words around) the counts decide.
 Then the furniture at the edges of a text is removed (running heads and feet, page numbers), broken words are joined and
 lines reflow into paragraphs.
 
@@ -28,6 +30,7 @@ from quirelake.session import durable, spread
 
 VOCABULARY, RATIO, MIN_COUNT = 60_000, 8, 4
 DIM, SPARE, WINDOW, ROUNDS = 24, 8, 2, 3
+LINK = 0.5
 
 # What a recogniser writes, and what may have stood there.
 GLYPHS = (
@@ -225,14 +228,26 @@ class Repairer:
         found = self.candidates(w)
         if not found:
             return None
-        if len(found) > 1:
-            ctx = [self.index[a.lower()] for a in around if a.lower() in self.index]
-            known = ctx and all(c[0] in self.index for c in found)  # else the count decides
-            mean = self.ctx[ctx].mean(axis=0) if known else None
-            found = sorted(found, key=lambda c: (float(self.vec[self.index[c[0]]] @ mean) if known else 0.0, self.counts[c[0]]), reverse=True)
+        ctx = [self.index[a.lower()] for a in around if a.lower() in self.index]
+        known = ctx and all(c[0] in self.index for c in found)  # else the count decides
+        if known:
+            mean = self.ctx[ctx].mean(axis=0)
+            near = {c[0]: float(self.vec[self.index[c[0]]] @ mean) for c in found}
+            own = float(self.vec[self.index[w]] @ mean) if w in self.index else 0.0
+            found = [c for c in found if near[c[0]] > own or self.linked(w, c[0])]
+            if not found:
+                return None
+        found = sorted(found, key=lambda c: (near[c[0]] if known else 0.0, self.counts[c[0]]), reverse=True)
         meant, places, _ = found[0]
         return meant, places
 
+    def linked(self, word: str, other: str) -> bool:
+        """Whether two words are neighbours by their vectors."""
+        if word not in self.index or other not in self.index:
+            return False
+        a, b = self.vec[self.index[word]], self.vec[self.index[other]]
+        return float(a @ b) >= LINK * float(np.linalg.norm(a) * np.linalg.norm(b))
+
     def whole(self, joined: str) -> bool:
         """Whether the joined halves are a word of the corpus, as it stands or misread."""
         return self.counts.get(joined.lower(), 0) >= MIN_COUNT or bool(self.candidates(joined.lower()))

@@ -64,3 +64,17 @@ def test_vectors_of_all_texts(spark):
         q = R.Repairer({"sandy": 90, "candy": 400, "the": 900}, ({"sandy": 0, "the": 1}, R.np.ones((2, R.DIM)), R.np.ones((2, R.DIM))))
         q.memo["5andy"] = [("sandy", [0], 1), ("candy", [0], 1)]
         assert q.correct("5andy", around)[0] == "candy"
+
+
+def test_a_genuine_rare_word_stays():
+    """'serial' stands among other words than 'cereal'; misread words stand where the words meant do."""
+    texts = ["The treatment was planned early"] * 90 + ["Eat more cereal and brown bread daily"] * 400 + ["Request serial and batch codes"] * 5 + ["Seen after dinner with nobody"] * 300
+    texts += ["Eat more ccreal and brown bread daily"] * 5
+    counts = {}
+    for t in texts:
+        for w in R.words_of(t):
+            counts[w] = counts.get(w, 0) + 1
+    r = R.Repairer(counts, R.skip_gram(texts, counts))
+    r.memo["serial"] = [("cereal", [0], 1)]  # as if by one glyph
+    assert r.found("Request serial and batch codes") == []
+    assert r.found("Eat more ccreal and brown bread daily") == [(0, "misread")] and r.found("The treatrnent was planned early") == [(0, "misread")]
