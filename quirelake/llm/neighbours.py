@@ -32,6 +32,7 @@ FIT_ROWS, MOST_FIT_ROWS, PART_ROWS, MAX_PARTS = 24_576, 98_304, 2048, 8192
 BLOCK_ROWS = 8192
 GRAPH_K = 8
 HELD_OUT, LEAST_PROBES = 8_192, 3
+QUERIES = 1_000  # held-out rows whose neighbours among all rows set the probes
 MEMBER, ASKS, BOTH = 0, 1, 2
 
 
@@ -174,23 +175,51 @@ def learn(x: np.ndarray, parts: int, seed: int = 11, epochs: int = 12) -> Router
     return Router(w.astype(np.float32), b.astype(np.float32))
 
 
-def probes_for(router: Router, x: np.ndarray, recall: float, k: int = 5, floor: float = -1.0, queries: int = 1000) -> int:
-    """Fewest probes at which the k nearest rows (of at least `floor`) are reached with the recall, on rows not fitted on."""
-    q = x[:queries]
-    at, sim = knn_brute(q, x, k + 1)
-    home = router.top(x, 1)[:, 0]
-    own = at == np.arange(len(q))[:, None]
-    ok = ~own & (sim >= floor)
-    if not ok.any():
+def probes_for(router: Router, q: np.ndarray, at: np.ndarray, near: np.ndarray, recall: float, floor: float = -1.0) -> int:
+    """Fewest probes at which true neighbours are reached with the recall: row i of `near` is one of row at[i] of the queries."""
+    if not len(at):  # none of the queries has a neighbour
         return LEAST_PROBES
-    need = router.places(q, home[at])
+    need = router.places(q[at], router.top(near, 1))[:, 0]
     if floor > 0:  # a pair is found from either side
-        back = router.places(x[at.ravel()], np.repeat(home[: len(q)], at.shape[1])[:, None])
-        need = np.minimum(need, back.reshape(at.shape))
-    need = np.sort(need[ok])
+        need = np.minimum(need, router.places(near, router.top(q, 1)[at])[:, 0])
+    need = np.sort(need)
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)]) + 1
 
 
+def true_neighbours(vectors: DataFrame, q: np.ndarray, k: int = 5, floor: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest other rows of (id, vec) of at least `floor` for each query, over all rows: (query numbers, vectors).
+
+    Each task goes through its rows in blocks and keeps the k best of each query; at most len(q) * k rows come to the driver.
+    """
+    dim = q.shape[1]
+    shared = vectors.sparkSession.sparkContext.broadcast(q)
+
+    def run(batches):
+        qs = shared.value
+        sims, best = np.full((len(qs), k), -2, np.float32), np.zeros((len(qs), k, dim), np.float32)
+        for batch in batches:
+            x = _matrix(batch.column(0), dim)
+            for lo in range(0, len(qs) if len(x) else 0, 256):
+                mine = slice(lo, min(lo + 256, len(qs)))
+                at, new = knn_brute(qs[mine], x, k + 1)
+                new = np.where((new >= floor) & ~(x[at] == qs[mine][:, None, :]).all(axis=2), new, -2).astype(np.float32)
+                rows, cols = np.nonzero(new > sims[mine].min(axis=1, keepdims=True))
+                for i in np.unique(rows):
+                    j = cols[rows == i]
+                    c = np.concatenate([sims[lo + i], new[i, j]])
+                    v = np.concatenate([best[lo + i], x[at[i, j]]])
+                    top = np.argsort(-c, kind="stable")[:k]
+                    sims[lo + i], best[lo + i] = c[top], v[top]
+        i, j = np.nonzero(sims > -2)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(sims[i, j]), pa.array([r.tobytes() for r in best[i, j]], pa.binary())], ["q", "sim", "vec"])
+
+    found = vectors.select("vec").mapInArrow(run, "q int, sim float, vec binary")
+    order = Window.partitionBy("q").orderBy(F.desc("sim"), "vec")
+    got = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("q", "vec").toArrow()
+    return np.asarray(got.column("q")).astype(np.int64), _matrix(got.column("vec"), dim) if got.num_rows else np.zeros((0, dim), np.float32)
+
+
 def clean(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     """(id, vec binary) of the valid vectors, of unit length in float32; repeated ids are kept."""
 
@@ -255,7 +284,7 @@ def search(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
     parts = int(min(MAX_PARTS, max(1, round(n / PART_ROWS)), max(1, len(x) // 12)))
     router = learn(x, parts) if len(x) else Router(np.zeros((dim, 1), np.float32), np.zeros(1, np.float32))
     if probes is None:
-        probes = max(LEAST_PROBES, probes_for(router, test, recall, k, floor)) if len(test) else 1
+        probes = max(LEAST_PROBES, probes_for(router, test[:QUERIES], *true_neighbours(reps, test[:QUERIES], k, floor), recall, floor)) if len(test) else 1
     probes = min(probes, router.weights.shape[1])
     # Blocks of a part, from its size in the sample: a group of one task stays bounded.
     size = np.bincount(router.top(x, 1)[:, 0], minlength=router.weights.shape[1]) * (max(n, 1) / max(len(x), 1)) if len(x) else np.ones(1)

@@ -65,3 +65,15 @@ def test_empty_and_single(spark):
     df = table(spark, [("a", [1.0] * 16)])
     assert N.search(df, "id", "embedding", dim=16).pairs.count() == 0
     assert N.search(df.limit(0), "id", "embedding", dim=16, floor=0.9).pairs.count() == 0
+
+
+def test_probes_rest_on_neighbours_among_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = N.unit_rows(rng.normal(size=(6000, 16))).astype(np.float32)
+    x[5000:5040] = N.unit_rows(x[:40] + 0.02 * rng.normal(size=(40, 16)))  # no close pair among the first 1,000
+    df = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id int, vec binary").repartition(7)
+    at, near = N.true_neighbours(df, x[:1000], 5, 0.97)
+    assert sorted(at) == list(range(40)) and all((near[i] == x[5000 + q]).all() for i, q in enumerate(at))
+    at, near = N.true_neighbours(df, x[:50], 5)
+    sim = np.sort(x[:50] @ x.T, axis=1)[:, -6:-1].min(axis=1)
+    assert len(at) == 250 and (np.einsum("ij,ij->i", x[at], near) >= sim[at] - 1e-5).all()
